@@ -45,14 +45,15 @@ def _kinds(registry: Registry, name: str) -> set[str]:
 
 
 def _steps(registry: Registry, at: str, up: bool) -> list[Hop]:
+    """Hops from an entity; to a template also as hops to each entity that extends it."""
     kinds = _kinds(registry, at)
     out = []
     for r in registry.relations:
         if r.name is None:
             if up and r.child in kinds:
-                out.append(Hop(r, True, at, r.parent))
+                out += [Hop(r, True, at, e) for e in dict.fromkeys([r.parent, *registry.subclasses(r.parent)])]
             if not up and r.parent in kinds:
-                out.append(Hop(r, False, at, r.child))
+                out += [Hop(r, False, at, e) for e in dict.fromkeys([r.child, *registry.subclasses(r.child)])]
     return out
 
 
@@ -85,8 +86,7 @@ def find_paths(registry: Registry, start: str, goal: str, singular: bool = False
     then paths of any number; one direction at a time, upwards first.  Costs are
     (weight, hops); an equal cost through different entities is ambiguous.
     """
-    # reaching a template above the goal reaches those of its objects that are the goal's
-    goals = {goal, *registry.subclasses(goal), *_kinds(registry, goal)}
+    goals = {goal, *registry.subclasses(goal)}
     searches = [lambda h: h.singular and not h.optional, lambda h: h.singular]
     if not singular:
         searches += [lambda h: not h.optional, lambda h: True]
@@ -95,6 +95,7 @@ def find_paths(registry: Registry, start: str, goal: str, singular: bool = False
         if options:
             cost = min(c for c, _ in options)
             paths = [p for c, found in options if c == cost for p in found]
+            paths = [p for p in paths if p[-1].target == goal] or paths
             ends = [p[-1].target for p in paths]
             if len(paths) > 1 and (len(set(ends)) < len(ends) or not registry.entities[goal].template):
                 raise AmbiguousPathError(f"{start} reaches {goal} by several paths: {'; '.join(' -> '.join(h.target for h in p) for p in paths)}")
