@@ -9,15 +9,15 @@ clamping and resharing again and again.
 
 A source with e = target / size epochs takes every document floor(e) times, and a
 seeded sample once more: documents in the order of a hash of seed and id, until
-the fraction is used up, then the one document of the source that fits best into
-what is left.  The order is not sorted as a whole: sizes are summed by (source,
+the fraction is used up.  The order is not sorted as a whole: sizes are summed by (source,
 hash bucket), the bucket in which a source's fraction ends is found from those
-sums, and only documents of that bucket are ordered.  No document is taken more
+sums, and only documents of that bucket are ordered.  A few documents that fit
+close the gap that is left.  No document is taken more
 often than ``max_epochs`` times.
 
 Defined cases: null texts have size 0; the null source is a source (last in
 order); a source whose documents are all empty takes nothing; ids that repeat are
-sampled by their rows' hash of id and text; an empty table gives no rows; other
+sampled alike, rows that repeat an id are taken equally often; an empty table gives no rows; other
 columns are ignored by ``mix_rows``, kept by ``mix``.
 """
 
@@ -32,8 +32,10 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MAX_EPOCHS = 3
 SEED = 17
 BUCKETS = 4096
+#: Documents of a size class that may close a source's gap.
+CANDIDATES = 4
 #: From this many sources on, they are joined by a shuffle instead of a broadcast.
-FEW_SOURCES = 50_000
+FEW_SOURCES = 5_000
 
 
 def n_words(text: Column) -> Column:
@@ -89,14 +91,24 @@ def mix_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     others = placed.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn("more", F.when(F.col("edge").isNull(), F.col("extra") > 0).otherwise(F.col("bucket") < F.col("edge")).cast("int"))
     taken = at_edge.unionByName(others).withColumn("copies", F.col("whole") + F.col("more"))
     taken = stored(taken.select("doc_id", "source", "size", "place", "source_size", "target", "whole", "extra", "copies"), "mix-taken")
-    # what is left of a source's fraction goes to the document that fits best
+    # what is left of a source's fraction goes to a few documents that fit: of each class of sizes some
+    # candidates, largest first, as long as there is room
     used = taken.groupBy("source").agg((F.first("extra") - F.sum((F.col("copies") - F.col("whole")) * F.col("size"))).alias("gap"))
     fits = _join_sources(taken.where(F.col("copies") == F.col("whole")), used, few).where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & (F.col("copies") < max_epochs))
-    best = fits.groupBy("source").agg(F.max(F.struct("size", "place", "doc_id")).alias("best")).select("source", F.col("best.place").alias("best_place"), F.col("best.size").alias("best_size"))
-    right = best.withColumnRenamed("source", "_best_source")
-    final = taken.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("_best_source")), "left")
-    chosen = F.coalesce((F.col("copies") == F.col("whole")) & (F.col("place") == F.col("best_place")) & (F.col("size") == F.col("best_size")), F.lit(False))
-    final = final.withColumn("copies", F.col("copies") + chosen.cast("long"))
+    classes = fits.groupBy("source", F.floor(F.log2("size")).alias("class"), F.pmod("place", F.lit(CANDIDATES)).alias("slot")).agg(F.max(F.struct("size", "place")).alias("x"), F.first("gap").alias("gap"))
+    lists = classes.groupBy("source").agg(F.reverse(F.array_sort(F.collect_list("x"))).alias("xs"), F.first("gap").alias("gap"))
+    none = F.array().cast("array<bigint>")
+
+    def fill(state: Column, x: Column) -> Column:
+        fit = x["size"] <= state["room"]
+        return F.struct(F.when(fit, state["room"] - x["size"]).otherwise(state["room"]).alias("room"), F.when(fit, F.concat(state["places"], F.array(x["place"]))).otherwise(state["places"]).alias("places"))
+
+    chosen = F.aggregate("xs", F.struct(F.col("gap").alias("room"), none.alias("places")), fill)["places"]
+    closing = lists.select(F.col("source").alias("_source"), F.explode(chosen).alias("_place"))
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("place") == F.col("_place"))
+    # at most 64 * CANDIDATES rows a source
+    final = taken.join(F.broadcast(closing) if few else closing, same, "left")
+    final = final.withColumn("copies", F.col("copies") + ((F.col("copies") == F.col("whole")) & F.col("_place").isNotNull()).cast("long"))
     return final.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
