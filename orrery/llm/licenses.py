@@ -178,11 +178,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", signat
     tried = F.filter(_literal(items), lambda r: F.contains(F.col("normal"), r["keyword"]))
     spans = F.flatten(F.transform(tried, lambda r: _found(F.col("normal"), r)))
     held = docs.select("doc_id", "n_words", *[p.alias(f"_{k}") for k, p in places.items()], F.when(F.col("normal").isNotNull(), spans).alias("spans"))
-    held = held.select("*", _standing(F.col("spans")).alias("detections"))
+    none = F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string>>")
+    held = held.select("*", F.coalesce(_standing(F.col("spans")), none).alias("detections"))
     every = F.concat(*[F.coalesce(F.col(f"_{k}"), F.array().cast("array<int>")) for k in places])
     base = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"_{k}") > 0, F.lit(k)) for k in places])))
-    labels = F.array_sort(F.array_distinct(F.concat(base, F.coalesce(F.transform("detections", lambda d: d["label"]), F.array().cast("array<string>")))))
-    covered = F.aggregate(F.coalesce(F.col("detections"), F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string>>")), F.lit(0), lambda a, d: a + d["end"] - d["start"] + 1)
+    labels = F.array_sort(F.array_distinct(F.concat(base, F.col("detections.label"))))
+    covered = F.aggregate("detections", F.lit(0), lambda a, d: a + d["end"] - d["start"] + 1)
     return held.select(
         "doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
         F.array_join(base, ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
