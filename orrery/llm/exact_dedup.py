@@ -60,7 +60,7 @@ def _fold(keep_largest: bool):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wait: pa.Table | None = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
+            table = pa.table(batch.columns, names=batch.schema.names)
             if wait is not None:
                 table = pa.concat_tables([wait, table]).combine_chunks()
             if not table.num_rows:
