@@ -33,7 +33,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm._joins import join_even
@@ -41,7 +43,8 @@ from orrery.llm._text import U64, Words, blocks, body, mix, split_words
 from orrery.storage import in_arrow, stored
 
 SKETCH_BITS = 18
-RANGES = 16
+RANGES = 128
+MOST_BITS = 27
 ROUNDS = 2
 SETS = "doc_id long, n_shingles long, key binary, prefix array<long>, spread binary"
 
@@ -113,41 +116,72 @@ def _sets(n: int, percent: int, rank: np.ndarray):
                     near = np.flatnonzero(order <= order[near].max())
                 near = near[np.lexsort((s[near], order[near]))][:length]
                 prefixes.append(s[near].view(np.int64))
-                spreads.append(np.bincount((mix(s) >> U64(60)).astype(np.int64), minlength=RANGES).astype("<u4").tobytes())
+                spreads.append(np.minimum(np.bincount((mix(s) >> U64(57)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes())
             yield pa.record_batch([rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(spreads, pa.binary())], names=["doc_id", "n_shingles", "key", "prefix", "spread"])
 
     return run
 
 
-def _whole(n: int):
+def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(U64)) >> U64(64 - bits)).astype(np.int64)
+
+
+def _slots(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, bounds in blocks(batches):
-            sets = shingles(split_words(data, bounds), n)
-            yield pa.record_batch([rows.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "grams"])
+        for batch in batches:
+            for c in ("a", "b"):
+                at = _slot(batch.column(c).to_numpy(), bits)
+                yield pa.record_batch([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(U64)).view(np.int64))], names=["word", "bit"])
+
+    return run
+
+
+def membership(pairs: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of hashed ids that occur in pairs, of at most 2**MOST_BITS bits: all of them pass, few others do."""
+    bits = min(MOST_BITS, max(12, int(np.ceil(np.log2(max(1, 32 * pairs.count()))))))
+    table = pairs.transform(in_arrow, _slots(bits), "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[table["word"].to_numpy()] = table["bit"].to_numpy()
+    return out.view(U64), bits
+
+
+def _wanted(marks: np.ndarray, bits: int):
+    """Texts whose ids pass the bitmap, lower-cased and compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            at = _slot(np.asarray(batch.column("doc_id").fill_null(0)), bits)
+            hit = (marks[at >> 6] >> (at & 63).astype(U64)) & U64(1) > 0
+            part = batch.filter(pa.array(hit)).filter(pa.compute.is_valid(batch.column("doc_id").filter(pa.array(hit))))
+            if part.num_rows:
+                yield pa.record_batch([part.column("doc_id"), pa.array([pack.compress(t.as_py().lower()) for t in part.column("body")], pa.binary())], names=["doc_id", "packed"])
 
     return run
 
 
 def _near(percent: int):
-    """Suffix filter on pairs with the spreads of both."""
+    """Suffix filter: differences of the counts by hash range bound the sets' symmetric difference from below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, RANGES).astype(np.int64) for c in ("spread_a", "spread_b"))
-                most = np.minimum(x, y).sum(axis=1)
-                keep = most >= overlap_needed(x.sum(axis=1), y.sum(axis=1), percent)
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16) for c in ("spread_a", "spread_b"))
+                a, b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+                keep = np.abs(x - y).sum(axis=1) <= a + b - 2 * overlap_needed(a, b, percent)
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def _verify(percent: int):
+def _verify(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("grams_a"), batch.column("grams_b"), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+            for i in range(batch.num_rows):
+                x, y = (unpack.decompress(batch.column(c)[i].as_py()) for c in ("packed_a", "packed_b"))
+                s, t = shingles(split_words(np.frombuffer(x + y, np.uint8), np.array([0, len(x), len(x) + len(y)])), n)
                 both = np.concatenate([s, t])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
@@ -175,14 +209,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, spreads: DataFrame, n: int, percent: int) -> DataFrame:
     """The linking ones of distinct pairs (a, b)."""
-    sa, sb = (spreads.select(F.col("doc_id").alias(c), F.col("spread").alias(f"spread_{c}")) for c in "ab")
-    near = stored(pairs.join(sa, "a").join(sb, "b").select("a", "b", "spread_a", "spread_b").transform(in_arrow, _near(percent), "a long, b long"), "candidates")
-    needed = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(needed, "doc_id", "left_semi").transform(in_arrow, _whole(n), "doc_id long, grams binary")
-    # rows that repeat an id repeat its text
-    grams = stored(texts.groupBy("doc_id").agg(F.min("grams").alias("grams")), "grams")
-    ga, gb = (grams.select(F.col("doc_id").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab")
-    return near.join(ga, "a").join(gb, "b").select("a", "b", "grams_a", "grams_b").transform(in_arrow, _verify(percent), "a long, b long")
+    sa, sb = (spreads.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("spread").alias(f"spread_{c}")) for c in "ab")
+    near = stored(pairs.join(sa, "a").join(sb, "b").select("a", "b", "n_a", "n_b", "spread_a", "spread_b").transform(in_arrow, _near(percent), "a long, b long"), "candidates")
+    texts = stored(docs.transform(in_arrow, _wanted(*membership(near)), "doc_id long, packed binary"), "texts")
+    ta, tb = (texts.select(F.col("doc_id").alias(c), F.col("packed").alias(f"packed_{c}")) for c in "ab")
+    # rows that repeat an id repeat its text, and so its pairs
+    return near.join(ta, "a").join(tb, "b").select("a", "b", "packed_a", "packed_b").transform(in_arrow, _verify(n, percent), "a long, b long").distinct()
 
 
 def _fitting(left: str, right: str, percent: int):
@@ -192,6 +224,12 @@ def _fitting(left: str, right: str, percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (F.least(a - i, b - j) >= needed)
 
 
+def _leaders(posts: DataFrame, member: Column) -> DataFrame:
+    """The member of each n-gram's group with the fewest rarer n-grams: of near copies, one with few changes."""
+    first = F.min(F.struct("at", F.xxhash64("doc_id"), member.alias("m")))
+    return posts.groupBy("gram").agg(first.alias("x")).select("gram", F.col("x.m").alias("l"))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -205,18 +243,24 @@ def similarity_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: st
     classes = stored(sets.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
     one = sets.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("spread").alias("spread"))
     one = stored(one, "representatives")
-    spreads = one.select("doc_id", "spread")
+    spreads = one.select("doc_id", "n", "spread")
     posts = one.select("doc_id", "n", F.posexplode("prefix").alias("at", "gram"))
     shared = posts.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").select("gram")
     posts = stored(posts.join(shared.hint("shuffle_merge"), "gram", "left_semi").select("gram", "doc_id", "n", "at"), "posts")
     labels, verified = None, None
     for turn in range(ROUNDS + 1):
-        placed = posts.withColumn("label", F.col("doc_id")) if labels is None else posts.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        mixed = placed.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
-        posts = stored(placed.join(mixed, "gram", "left_semi").select("gram", "doc_id", "n", "at", "label"), "posts")
+        if labels is None:
+            posts = posts.withColumn("label", F.col("doc_id"))
+        else:
+            placed = posts.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+            mixed = placed.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
+            posts = stored(placed.join(mixed, "gram", "left_semi").select("gram", "doc_id", "n", "at", "label"), "posts")
         member = F.struct("doc_id", "n", "at", "label")
         if turn < ROUNDS:
-            leader = posts.groupBy("gram").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "label"), F.xxhash64(F.lit(turn), "doc_id"), member.alias("m"))).alias("x")).select("gram", F.col("x.m").alias("l"))
+            leader = _leaders(posts, member)
+            for _ in range(turn):  # the next leader is of another component
+                others = posts.join(leader, "gram").where("label <> l.label").select(posts.columns)
+                leader = _leaders(others, member)
             pairs = posts.select("gram", member.alias("m")).join(leader, "gram").where("m.label <> l.label")
         else:
             sides = posts.groupBy("gram", "label").agg(F.count("*").alias("c")).select("gram", "label")
