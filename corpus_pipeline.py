@@ -7,7 +7,6 @@ stage's rows to the shared folder and reads them back for the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from orrery.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from orrery.storage import stored
@@ -16,8 +15,7 @@ from orrery.storage import stored
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that score 0.3 or more; learned from all labelled documents of the stage's input."""
     training = toxicity.labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    fine = toxicity.score(docs, training).where(F.col("score") < toxicity.THRESHOLD).select(F.col("doc_id").alias("_fine_id")).distinct()
-    return docs.join(fine, docs["doc_id"].eqNullSafe(F.col("_fine_id")), "left_semi")
+    return toxicity.drop_toxic(docs, training)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

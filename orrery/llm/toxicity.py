@@ -36,7 +36,7 @@ from orrery.llm._text import U64, HashIndex, Words, blocks, body, mix, split_wor
 from orrery.storage import in_arrow
 
 WINDOW, STRIDE = 32, 16
-POSITIVES, NEGATIVES = 1200, 2400
+POSITIVES, NEGATIVES = 1000, 2000
 WORD_BITS, GRAM_BITS = 16, 16
 WORD_DIM = GRAM_DIM = 6
 HIDDEN, ATTENTION = 8, 8
@@ -45,8 +45,12 @@ GRAMS = (3, 4, 5)
 WORD_BYTES = 24
 #: Words whose vectors a worker keeps; when there are more, it starts anew.
 KNOWN_WORDS = 500_000
+#: Words or windows whose vectors are made at once.
+AT_ONCE = 20_000
 #: Bytes of text scored at once.
 UNIT = 2 << 20
+#: Small samples are gone through more often, to make this many steps.
+LEAST_STEPS = 240
 SEED = 11
 THRESHOLD = 0.3
 Params = dict[str, np.ndarray]
@@ -73,7 +77,7 @@ def _grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
         found.append(mix(packed * U64(8) + U64(n)) >> U64(64 - GRAM_BITS))
         there.append(np.arange(packed.shape[1]) <= (size + 2 - n)[:, None])
     found, there = np.concatenate(found, axis=1), np.concatenate(there, axis=1)
-    return found[there].astype(np.int64), there.sum(axis=1)
+    return found[there].astype(np.int32), there.sum(axis=1)
 
 
 class Features:
@@ -83,17 +87,23 @@ class Features:
         hashes, one, back = np.unique(words.hash, return_index=True, return_inverse=True)
         self.hash, self.of_token = hashes, back.astype(np.int64)
         self.word = (hashes >> U64(64 - WORD_BITS)).astype(np.int64)
-        self.grams, self.n_grams = _grams(words.data, words.start[one], words.end[one])
+        parts = [_grams(words.data, words.start[part], words.end[part]) for part in np.array_split(one, max(1, -(-len(one) // AT_ONCE)))]
+        self.grams, self.n_grams = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.heads = np.cumsum(self.n_grams) - self.n_grams
 
-    def vectors(self, p: Params) -> np.ndarray:
-        """One row per distinct word, and a last row of zeros for padding."""
-        out = np.zeros((len(self.word) + 1, WORD_DIM + GRAM_DIM + 1), np.float32)
-        if len(self.word):
-            out[:-1, :WORD_DIM] = p["words"][self.word]
-            grams = p["grams"][self.grams]
-            out[:-1, WORD_DIM:-1] = np.add.reduceat(grams, self.heads) / np.maximum(self.n_grams, 1)[:, None]
-            out[:-1, -1] = np.maximum.reduceat(p["odds"][self.grams], self.heads)
+    def vectors(self, p: Params, words: np.ndarray | None = None) -> np.ndarray:
+        """One row per distinct word (or per word of ``words``), and a last row of zeros for padding."""
+        words = np.arange(len(self.word)) if words is None else words
+        out = np.zeros((len(words) + 1, WORD_DIM + GRAM_DIM + 1), np.float32)
+        out[:-1, :WORD_DIM] = p["words"][self.word[words]]
+        for i in range(0, len(words), AT_ONCE):
+            part = words[i : i + AT_ONCE]
+            size = self.n_grams[part]
+            grams = self.grams[take_pieces(self.heads[part], size)]
+            heads = np.cumsum(size) - size
+            rows = slice(i, i + len(part))
+            out[rows, WORD_DIM:-1] = np.add.reduceat(p["grams"][grams], heads) / size[:, None]
+            out[rows, -1] = np.maximum.reduceat(p["odds"][grams], heads)
         return out
 
 
@@ -249,10 +259,12 @@ def train(texts: list[tuple[bytes, int]], epochs: int = 6, batch: int = 192, rat
     p["grams"][:, 0] = p["odds"]
     place, owner = windows(words.per_text, words.ptr)
     pad = len(features.word)
-    tokens = np.where(place >= 0, features.of_token[place], pad)
+    tokens = np.where(place >= 0, features.of_token[place], pad).astype(np.int32)
+    del place
     vectors = features.vectors(p)
     evidence = np.maximum(vectors[:, 0], 0) + np.maximum(vectors[:, -1], 0)
-    rank = evidence[tokens].sum(axis=1)
+    rank = np.concatenate([evidence[t].sum(axis=1) for t in np.array_split(tokens, max(1, len(tokens) // AT_ONCE))])
+    del vectors
     past = {k: np.full_like(x, 1e-4) for k, x in p.items() if k != "odds"}
     edges = np.searchsorted(owner, np.arange(len(labels) + 1))
 
@@ -260,8 +272,10 @@ def train(texts: list[tuple[bytes, int]], epochs: int = 6, batch: int = 192, rat
         past[name][rows] += grad * grad
         p[name][rows] -= rate * grad / np.sqrt(past[name][rows])
 
+    per_epoch = -(-(len(labels) + min(len(labels), int((labels[owner] == 0).sum()))) // batch)
+    epochs = max(epochs, -(-LEAST_STEPS // per_epoch))
     for epoch in range(epochs):
-        if epoch in (2, 4):
+        if epoch in (epochs // 3, 2 * epochs // 3):
             rank = logits(p, features.vectors(p), tokens)
         top = np.array([edges[i] + int(np.argmax(rank[edges[i] : edges[i + 1]])) for i in range(len(labels))])
         quiet = np.flatnonzero(labels[owner] == 0)
@@ -271,7 +285,7 @@ def train(texts: list[tuple[bytes, int]], epochs: int = 6, batch: int = 192, rat
             part = chosen[i : i + batch]
             used, at = np.unique(tokens[part], return_inverse=True)
             used = used if used[-1] == pad else np.append(used, pad)
-            small = features.vectors(p)[used] if pad < 3000 else _some(features, p, used)
+            small = features.vectors(p, used[:-1])
             _, g, d_vectors = gradients(p, small, at.reshape(len(part), WINDOW), labels[owner[part]].astype(np.float32))
             for name, grad in g.items():
                 step(name, grad)
@@ -287,19 +301,6 @@ def train(texts: list[tuple[bytes, int]], epochs: int = 6, batch: int = 192, rat
     return p
 
 
-def _some(features: Features, p: Params, used: np.ndarray) -> np.ndarray:
-    """Rows ``used`` (the last pads) of the vectors."""
-    real = used[:-1]
-    out = np.zeros((len(used), WORD_DIM + GRAM_DIM + 1), np.float32)
-    size = features.n_grams[real]
-    grams = features.grams[take_pieces(features.heads[real], size)]
-    heads = np.cumsum(size) - size
-    out[:-1, :WORD_DIM] = p["words"][features.word[real]]
-    out[:-1, WORD_DIM:-1] = np.add.reduceat(p["grams"][grams], heads) / size[:, None]
-    out[:-1, -1] = np.maximum.reduceat(p["odds"][grams], heads)
-    return out
-
-
 def _calibrate(best: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Slope and offset of a logistic fit of texts' highest logits, both kinds with equal weight."""
     n = np.bincount(labels, minlength=2)
@@ -348,26 +349,42 @@ class _Known:
         return back, np.concatenate([self.vectors[used], np.zeros((1, self.vectors.shape[1]), np.float32)])
 
 
+def _block_scores(p: Params | None, known: _Known | None, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score and number of windows of every text of a block."""
+    n = len(bounds) - 1
+    score, n_windows = np.zeros(n), np.zeros(n, np.int64)
+    if p is not None and len(data):
+        words = split_words(data, bounds)
+        place, owner = windows(words.per_text, words.ptr)
+        if len(place):
+            of_token, vectors = known.block(words)
+            tokens = np.where(place >= 0, of_token[place], len(vectors) - 1)
+            prob = _sigmoid(p["scale"][0] * logits(p, vectors, tokens).astype(np.float64) + p["scale"][1])
+            np.maximum.at(score, owner, prob)
+            n_windows = np.bincount(owner, minlength=n)
+    return score, n_windows
+
+
 def _score(p: Params | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(p) if p is not None else None
         for rows, data, bounds in blocks(batches, UNIT):
-            score = np.zeros(rows.num_rows)
-            n_windows = np.zeros(rows.num_rows, np.int64)
-            if p is not None and len(data):
-                words = split_words(data, bounds)
-                place, owner = windows(words.per_text, words.ptr)
-                if len(place):
-                    of_token, vectors = known.block(words)
-                    tokens = np.where(place >= 0, of_token[place], len(vectors) - 1)
-                    prob = _sigmoid(p["scale"][0] * logits(p, vectors, tokens).astype(np.float64) + p["scale"][1])
-                    np.maximum.at(score, owner, prob)
-                    n_windows = np.bincount(owner, minlength=rows.num_rows)
+            score, n_windows = _block_scores(p, known, data, bounds)
             yield pa.record_batch([rows.column("doc_id"), pa.array(score), pa.array(n_windows)], names=["doc_id", "score", "n_windows"])
 
     return run
 
 
+def _below(p: Params | None, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(p) if p is not None else None
+        for rows, data, bounds in blocks(batches, UNIT, "_body"):
+            score, _ = _block_scores(p, known, data, bounds)
+            yield rows.filter(pa.array(score < threshold)).drop_columns(["_body"])
+
+    return run
+
+
 def labelled(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
     """The bounded training sample: (text, label), by a hash of the id."""
     mark = F.xxhash64(F.lit("toxicity"), F.col("_id").cast("string"))
@@ -383,3 +400,9 @@ def score(docs: DataFrame, training: list[tuple[bytes, int]] | Params | None, id
     """doc_id, score and n_windows of every row."""
     p = train(training) if isinstance(training, list) else training
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col)).transform(in_arrow, _score(p), "doc_id long, score double, n_windows long")
+
+
+def drop_toxic(docs: DataFrame, training: list[tuple[bytes, int]] | Params | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows that score below ``threshold``, with all their columns, in the pass that scores them."""
+    p = train(training) if isinstance(training, list) else training
+    return docs.withColumn("_body", body(text_col)).transform(in_arrow, _below(p, threshold), docs.schema)
