@@ -104,7 +104,10 @@ def count(item, wrt=None, distinct: bool = False):
 def exists(item, wrt=None):
     if _plain(item):
         return builtins.any(True for _ in item)
-    return aggregate(item, wrt, "exists", lambda c: F.count(c) > 0, EMPTY["exists"])
+    out = aggregate(item, wrt, "exists", lambda c: F.count(c) > 0, EMPTY["exists"])
+    if isinstance(item, ObjectQuery) and _wrt(wrt) is not None:
+        out.semi = (item.node, _wrt(wrt), "left_semi")
+    return out
 
 
 def any(item, wrt=None):

@@ -398,8 +398,13 @@ class ObjectQuery(Query):
         if e.node is not None and not (node.under(e.node) or e.node.single_below(node) or any(node.under(a) and e.node.single_below(a) for a in e.node.chain)):
             raise DisjointPathError("the filter isn't at or above the objects it filters")
 
+        semi = mask.semi if mask.semi and node.under(mask.semi[1]) else None
+
         def extend(df: DataFrame, outer: bool) -> DataFrame:
             have = df.columns
+            if semi and not outer:
+                below, wrt, how = semi
+                return df.join(below.frame.select(*wrt.lineage), wrt.lineage, how).select(*have)
             held = e.on(df if e.node is None or e.node.id in df.columns else _reach(df, node, e.node), node)
             if not outer:
                 return held.where(e.column).select(*have)
@@ -465,8 +470,9 @@ class ObjectQuery(Query):
 class AttributeQuery(Query):
     """A value for each object of a level."""
 
-    def __init__(self, data, expression: Expression):
-        self.data, self.expression = data, expression
+    def __init__(self, data, expression: Expression, semi: tuple | None = None):
+        # semi: (node, wrt, join) of an existence test, which as a filter is a semi or anti join
+        self.data, self.expression, self.semi = data, expression, semi
 
     @property
     def node(self) -> Node | None:
@@ -559,7 +565,11 @@ class AttributeQuery(Query):
     __rand__, __ror__, __rxor__ = __and__, __or__, __xor__
 
     def __invert__(self):
-        return combine([self], lambda a: ~a.cast("boolean"), "not")
+        out = combine([self], lambda a: ~a.cast("boolean"), "not")
+        if self.semi:
+            node, wrt, how = self.semi
+            out.semi = (node, wrt, "left_anti" if how == "left_semi" else "left_semi")
+        return out
 
     def __add__(self, other):
         text = self._is(T.StringType)

@@ -13,6 +13,7 @@ from orrery.demo import LINEITEM, next_events, open_dataset
 from orrery.operators import upsert as up
 from orrery.operators import validate as check
 from orrery.operators.combine import align, join, split
+from orrery.operators.discover import branch, related_to_all
 from orrery.operators.results import page
 from orrery.plans.schema import Relation
 
@@ -412,6 +413,27 @@ def product_column(data):
     return v[v.label == 3][["vec_id", "embedding"]]
 
 
+@query("SELECT src, dst FROM (SELECT event_id AS src, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL AND src % 2 = 0")
+def relative_of_masked(data):
+    e = data.events
+    even = e[(e.event_id & 1) == 0]
+    held = even[[{"src": "event_id"}, {"dst": even.next_event.event_id}]].to_df()
+    return held.where("dst is not null")
+
+
+@query("""SELECT l_suppkey FROM (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem) GROUP BY l_suppkey HAVING count(*) FILTER (WHERE l_returnflag IN (SELECT DISTINCT l_returnflag FROM lineitem WHERE l_quantity > 49)) = (SELECT count(DISTINCT l_returnflag) FROM lineitem WHERE l_quantity > 49)""")
+def pattern_all_of(data):
+    items = data.frame("Lineitem")
+    return related_to_all(items, "l_suppkey", "l_returnflag", items.where("l_quantity > 49"))
+
+
+@query("""WITH e AS (SELECT event_id AS src, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events)
+SELECT a.src AS n0, a.dst AS n1, b.dst AS n2 FROM e a JOIN e b ON a.dst = b.src WHERE b.dst IS NOT NULL""")
+def pattern_branch(data):
+    edges = next_events(data)
+    return branch(edges, edges)
+
+
 # --- writing and checking ---------------------------------------------------------
 TARGET = [(1, "x", None), (2, "y", 5)]
 SOURCE = [(2, "Y", 6), (1, None, 7), (3, "n", None)]

@@ -164,3 +164,25 @@ def test_plans_prune_and_push(data):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(c_acctbal" in text
     assert "o_totalprice" not in text and "c_mktsegment" not in text
+
+
+def test_discovery(data):
+    from orrery.operators.discover import attributes, explain, find, match, match_edges, objects, without
+
+    assert find(data, "custmer")[0] == "customer" and "c_name" in find(data.customers, "c_nam")
+    assert attributes(data.nations, own=True) == ["n_name", "n_nationkey", "n_regionkey"]
+    assert "r_name" in attributes(data.nations, many=False) and "c_names" in attributes(data.nations, many=True)
+    assert {"customer", "nation", "region"} <= set(objects(data.orders, many=False))
+    assert "lineitems" in objects(data.orders, many=True)
+    assert "Nation" in explain(data.parties) and "identity" in explain(data.orders)
+    df = data.spark.createDataFrame([(1, None), (2, "x")], "src int, v string")
+    assert match(df, v=None).first()["src"] == 1 and match_edges(df, src=2).count() == 1
+    assert without(df, df.where("src = 1"), "src").first()["src"] == 2
+    assert data.registry.frame(data.spark).where("kind = 'relation'").count() == len(data.registry.relations)
+
+
+def test_existence_filters_are_semi_joins(data):
+    c = data.customers
+    for mask, how in ((fn.exists(c.events, wrt=c), "LeftSemi"), (~fn.exists(c.events, wrt=c), "LeftAnti")):
+        plan = c[mask].c_custkey.to_df()._jdf.queryExecution().optimizedPlan().toString()
+        assert how in plan and "Aggregate" not in plan
