@@ -47,6 +47,8 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 _SHIPPED: set[str] = set()
 
 
@@ -67,6 +69,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def in_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand on the executors."""
+    """``df.mapInArrow`` with this package at hand on the executors.
+
+    Rows may hold long texts, so a session that is at Spark's default of 10,000
+    rows a batch is set to ``BATCH_ROWS``; any other setting stays.
+    """
     ship(df.sparkSession)
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING) == "10000":
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
     return df.mapInArrow(function, schema)
