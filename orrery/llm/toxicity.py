@@ -37,7 +37,7 @@ from orrery.storage import in_arrow
 
 WINDOW, STRIDE = 32, 16
 POSITIVES, NEGATIVES = 1000, 2000
-WORD_BITS, GRAM_BITS = 16, 16
+WORD_BITS, GRAM_BITS = 18, 16
 WORD_DIM = GRAM_DIM = 6
 HIDDEN, ATTENTION = 8, 8
 GRAMS = (3, 4, 5)
@@ -202,13 +202,14 @@ def gradients(p: Params, vectors: np.ndarray, tokens: np.ndarray, labels: np.nda
 
 
 def _odds(buckets: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
-    """Smoothed log odds of a bucket's texts to be toxic; 0 where few toxic texts speak for it."""
+    """Smoothed log odds of a bucket's texts to be toxic, drawn towards 0 where few texts speak for it."""
     seen = np.zeros((2, size))
     for b, y in zip(buckets, labels, strict=True):
         seen[y, np.unique(b)] += 1
     n = np.bincount(labels, minlength=2)
     out = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-    return (np.clip(np.where((seen[1] >= 3) | (out < 0), out, 0), -2, 6) / 3).astype(np.float32)
+    sure = np.maximum(np.abs(out) - np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5)), 0)  # less one standard error
+    return (np.clip(np.sign(out) * sure, -2, 6) / 3).astype(np.float32)
 
 
 def _fresh(rng: np.random.Generator) -> Params:
@@ -272,6 +273,7 @@ def train(texts: list[tuple[bytes, int]], epochs: int = 6, batch: int = 192, rat
         past[name][rows] += grad * grad
         p[name][rows] -= rate * grad / np.sqrt(past[name][rows])
 
+    harmless = np.concatenate([t for t, y in zip(per_text, labels, strict=True) if not y]).astype(np.int32)
     per_epoch = -(-(len(labels) + min(len(labels), int((labels[owner] == 0).sum()))) // batch)
     epochs = max(epochs, -(-LEAST_STEPS // per_epoch))
     for epoch in range(epochs):
@@ -283,10 +285,13 @@ def train(texts: list[tuple[bytes, int]], epochs: int = 6, batch: int = 192, rat
         rng.shuffle(chosen)
         for i in range(0, len(chosen), batch):
             part = chosen[i : i + batch]
-            used, at = np.unique(tokens[part], return_inverse=True)
+            # a harmless word stays harmless if it is repeated
+            again = np.repeat(rng.choice(harmless, (len(part) // 6, 1)), WINDOW, axis=1)
+            rows = np.concatenate([tokens[part], again])
+            used, at = np.unique(rows, return_inverse=True)
             used = used if used[-1] == pad else np.append(used, pad)
             small = features.vectors(p, used[:-1])
-            _, g, d_vectors = gradients(p, small, at.reshape(len(part), WINDOW), labels[owner[part]].astype(np.float32))
+            _, g, d_vectors = gradients(p, small, at.reshape(len(rows), WINDOW), np.concatenate([labels[owner[part]], np.zeros(len(again))]).astype(np.float32))
             for name, grad in g.items():
                 step(name, grad)
             real = used[:-1]
