@@ -245,8 +245,11 @@ def similarity_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: st
     one = stored(one, "representatives")
     spreads = one.select("doc_id", "n", "spread")
     posts = one.select("doc_id", "n", F.posexplode("prefix").alias("at", "gram"))
-    shared = posts.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").select("gram")
-    posts = stored(posts.join(shared.hint("shuffle_merge"), "gram", "left_semi").select("gram", "doc_id", "n", "at"), "posts")
+    shared = posts.groupBy("gram").agg(F.count("*").alias("df"), F.min("n").alias("least")).where("df > 1").select("gram", "least")
+    # a post whose n-gram comes too late for even the smallest partner in its group is of no use
+    partner = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100 - 1e-9))
+    useful = F.col("n") - F.col("at") >= F.ceil(percent * (F.col("n") + partner) / (100 + percent) - 1e-9)
+    posts = stored(posts.join(shared.hint("shuffle_merge"), "gram").where(useful).select("gram", "doc_id", "n", "at"), "posts")
     labels, verified = None, None
     for turn in range(ROUNDS + 1):
         if labels is None:

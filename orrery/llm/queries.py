@@ -13,8 +13,8 @@ from orrery.llm._text import documents, remainder
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    training = toxicity.labelled(docs.where(remainder(4) != 2), documents(spark, sf_dir, "labels"))
-    scores = toxicity.score(docs, training)
+    model = toxicity.fit(toxicity.sample(docs.where(remainder(4) != 2), documents(spark, sf_dir, "labels")))
+    scores = toxicity.score(docs, model)
     return scores.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_windows")
 
 

@@ -7,8 +7,8 @@ its ends, and their strongest evidence).  A GRU reads the window in each
 direction, attention pools the states, a logistic unit scores the window.  A
 text's score is that of its highest window, calibrated on texts.
 
-Training is numpy on the driver, on a sample of at most ``POSITIVES`` +
-``NEGATIVES`` labelled texts chosen by a hash of the id (copies and near copies
+Training is numpy in one task, on a sample of at most ``POSITIVES`` +
+``NEGATIVES`` labelled ids chosen by a hash of the id (copies and near copies
 within the sample are dropped first).  Labels belong to texts, so windows are
 chosen in turns: the highest window of every text under the current evidence,
 beside random windows of texts that aren't toxic.  The first component of the
@@ -25,6 +25,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -390,24 +391,34 @@ def _below(p: Params | None, threshold: float):
     return run
 
 
-def labelled(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
-    """The bounded training sample: (text, label), by a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The bounded training sample: body and label of at most ``positives`` + ``negatives`` ids, by a hash of the id."""
     mark = F.xxhash64(F.lit("toxicity"), F.col("_id").cast("string"))
     known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     known = docs.select(F.col(id_col).alias("_id")).distinct().join(known, "_id")
     few = [known.where(F.col("_toxic") == y).withColumn("_mark", mark).orderBy("_mark", "_id").limit(n) for y, n in ((1, positives), (0, negatives))]
     chosen = few[0].unionByName(few[1]).select("_id", "_toxic")
-    rows = docs.select(F.col(id_col).alias("_id"), body(text_col)).join(F.broadcast(chosen), "_id").select("_id", "_toxic", "body").collect()
-    return [(bytes(r["body"]), int(r["_toxic"])) for r in sorted(rows, key=lambda r: (r["_id"], r["body"]))]
+    rows = docs.select(F.col(id_col).alias("_id"), body(text_col))
+    return rows.join(F.broadcast(chosen), "_id").select(F.col("_id").cast("long").alias("doc_id"), "body", F.col("_toxic").cast("int").alias("label"))
 
 
-def score(docs: DataFrame, training: list[tuple[bytes, int]] | Params | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [r for batch in batches for r in batch.to_pylist()]
+    rows.sort(key=lambda r: (r["doc_id"], r["body"]))
+    yield pa.record_batch([pa.array([pickle.dumps(train([(r["body"], r["label"]) for r in rows]))], pa.binary())], names=["model"])
+
+
+def fit(training: DataFrame) -> Params | None:
+    """Train on a bounded sample, in one task, so that the driver holds the parameters only."""
+    found = training.repartition(1).transform(in_arrow, _fit, "model binary").collect()
+    return pickle.loads(bytes(found[0]["model"])) if found else None
+
+
+def score(docs: DataFrame, p: Params | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and n_windows of every row."""
-    p = train(training) if isinstance(training, list) else training
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col)).transform(in_arrow, _score(p), "doc_id long, score double, n_windows long")
 
 
-def drop_toxic(docs: DataFrame, training: list[tuple[bytes, int]] | Params | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, p: Params | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows that score below ``threshold``, with all their columns, in the pass that scores them."""
-    p = train(training) if isinstance(training, list) else training
     return docs.withColumn("_body", body(text_col)).transform(in_arrow, _below(p, threshold), docs.schema)
