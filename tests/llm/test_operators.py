@@ -421,5 +421,8 @@ def test_toxicity_learns(spark, odd, empty):
     strange = toxicity.score(odd, p).collect()
     assert len(strange) == odd.count() and all(0 <= r["score"] <= 1 for r in strange)
     assert {r["score"] for r in strange if r["doc_id"] in (4, 5, 6)} == {0.0}
-    assert toxicity.train([(b"a b", 0)]) is None and toxicity.score(empty, []).count() == 0
+    assert toxicity.train([(b"a b", 0)]) is None and toxicity.score(empty, p).count() == 0
+    labels = spark.createDataFrame([(1, 0, 1), (3, 1, 0), (3, 1, 1), (99, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    assert sorted((r["doc_id"], r["label"]) for r in toxicity.sample(odd, labels).collect()) == [(1, 1), (3, 1)]
+    assert toxicity.fit(toxicity.sample(odd, labels)) is None and toxicity.fit(toxicity.sample(empty, labels)) is None
     assert {r["score"] for r in toxicity.score(odd, None).collect()} == {0.0}
