@@ -266,8 +266,13 @@ def similarity_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: st
                 leader = _leaders(others, member)
             pairs = posts.select("gram", member.alias("m")).join(leader, "gram").where("m.label <> l.label")
         else:
-            sides = posts.groupBy("gram", "label").agg(F.count("*").alias("c")).select("gram", "label")
-            two = sides.select("gram", F.col("label").alias("p")).join(sides.select("gram", F.col("label").alias("q")), "gram").where("p < q")
+            # components of a group in pairs, if their members' sizes and places leave room for a link
+            sides = posts.groupBy("gram", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("at")).alias("room"))
+            one_side, other_side = (sides.select("gram", F.col("label").alias(c), F.struct("lo", "hi", "room").alias(f"{c}_")) for c in "pq")
+            p_, q_ = F.col("p_"), F.col("q_")
+            least = F.ceil(percent * (p_.lo + q_.lo) / (100 + percent) - 1e-9)
+            fits = (100 * p_.hi >= percent * q_.lo) & (100 * q_.hi >= percent * p_.lo) & (F.least(p_.room, q_.room) >= least)
+            two = one_side.join(other_side, "gram").where((F.col("p") < F.col("q")) & fits).select("gram", "p", "q")
             left = posts.select("gram", F.col("label").alias("p"), member.alias("m"))
             right = posts.select("gram", F.col("label").alias("q"), member.alias("l"))
             pairs = two.join(left, ["gram", "p"]).join(right, ["gram", "q"])
