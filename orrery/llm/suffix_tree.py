@@ -2,29 +2,36 @@
 
 Symbols are words (A-Z lower-cased) and one end a text.  The root's distribution
 is add-one over all training words; deeper states are contexts of the last one
-to ``DEPTH`` words.  A context is a candidate if it makes up at least
-``CONTEXT_SHARE`` of the training tokens, and is retained if its next-symbol
-distribution diverges from that of the longest retained context below it by more
-than the description of its parameters costs (a log-likelihood-ratio test).  A
-state holds the next symbols that follow it in at least ``PAIR_SHARE`` of all
-tokens, discounted by ``DISCOUNT``; the rest of its mass goes to all other
-symbols in proportion to the shorter state.  Scoring takes the longest suffix
-state at every token.
-
-What is counted covers all training texts.  Word counts are a distributed table
-without a bound and are joined with the words of the texts.  The states and
-their symbols are broadcast; by the shares there are at most 1/CONTEXT_SHARE
-contexts of each length, 1/PAIR_SHARE symbols in all states of a length and
-1/WORD_SHARE known frequent words, whatever the size of the input.
-
-score(text) = base score + what the states add to each token's root probability:
-the base score needs every word's count (by the join), the addition concerns
-frequent words only (by the broadcast).
-
-Words are known by 64-bit hashes.  Defined cases: a null text is empty and has
-its end only; repeated rows get equal scores and count as often as they occur in
-training; without training texts N = V = 0 and every token has probability 1/(0 + 1),
-base score 0; an empty table gives no rows; other columns are ignored.
+to ``DEPTH`` words.  A context is retained if its next-symbol distribution
+diverges from that of the longest retained context below it by more than the
+description of its parameters costs (a log-likelihood-ratio test).  A state holds
+the next symbols that follow it at least ``LEAST`` times, discounted by
+``DISCOUNT``; the rest of its mass goes to all other symbols in proportion to the
+shorter state.  Scoring takes the longest suffix state at every token.
+
+The support is an absolute count, so the tree grows with the input.  Word
+sequences (grams) of each length that occur at least ``LEAST`` times are tables:
+a gram of m words is a pair (context of m - 1 words, next word), and the count of
+a context is its own as a shorter gram.  A state's test is a sum over its pairs,
+each joined with its suffix, the same pair one word shorter.
+
+A token whose longest kept gram has m words has the probability of that gram,
+times the share that each longer retained context leaves to other symbols.  With
+gain(gram) = log10 of its probability over its suffix's, less what its context
+leaves (where that is retained), plus what the gram itself leaves as a context,
+
+score(text) = base score + the gains of all grams in the text, as often as they occur.
+
+Grams in at least ``SHARE`` of the tokens are broadcast (at most 1/SHARE a
+length); the others are joined by their hashes, as are words.  Bitmaps of at most
+2**MOST_BITS bits keep most grams out of the shuffles that can't be in a table:
+all in it pass, and the counts and joins are exact.
+
+Words and grams are known by 64-bit hashes.  Defined cases: a null text is empty
+and has its end only; repeated rows get equal scores and count as often as they
+occur in training; without training texts N = V = 0 and every token has
+probability 1/(0 + 1), base score 0; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -37,99 +44,86 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm._joins import join_even
 from orrery.llm._text import U64, HashIndex, Words, blocks, body, mix, split_words
 from orrery.storage import in_arrow, stored
 
 DEPTH = 3
-WORD_SHARE = 2e-6
-CONTEXT_SHARE = 3e-5
-PAIR_SHARE = 5e-7
-#: A candidate or a pair is seen this often at least.
+#: A gram that is kept is seen this often at least.
 LEAST = 3
+#: Words and grams that make up this share of the tokens are broadcast.
+SHARE = 2e-6
 DISCOUNT = 0.6
+#: The largest bitmap has 2 to this power bits.
+MOST_BITS = 27
 #: Distinct entries a task gathers before it passes them on.
 FLUSH = 1_500_000
 END = U64(0x0E2D0F7E87000001)
+_ODD = U64(0xD6E8FEB86659FD93)
 
 
-@dataclass
-class Tree:
-    """Frequent words and, level by level, the states."""
+def _symbols(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes with an end after every text, and the offsets of the texts."""
+    n = len(words.ptr) - 1
+    return np.insert(words.hash, words.ptr[1:], END), words.ptr + np.arange(n + 1)
 
-    words: np.ndarray  # sorted hashes of frequent words, the end among them
-    root: np.ndarray  # log10 probability of each
-    contexts: np.ndarray  # which of them may stand in a context
-    levels: list[np.ndarray] = field(default_factory=list)  # keys of candidate contexts: (shorter context's number, word before it)
-    first: list[int] = field(default_factory=list)  # number of a level's first candidate; 0 is the root, 1 the start of a text
-    retained: np.ndarray = field(default_factory=lambda: np.array([True, False]))
-    parent: np.ndarray = field(default_factory=lambda: np.array([0, 0]))
-    spare: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.0]))  # log10 factor of the shorter state for other symbols
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))  # mixed keys (state, word), sorted
-    gain: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10 of probability over root's
 
-    def index(self) -> None:
-        self.find_word = HashIndex(self.words)
-        self.find_level = [HashIndex(_pair_key(k // len(self.words), k % len(self.words))) for k in self.levels]
-        self.level_number = [np.argsort(_pair_key(k // len(self.words), k % len(self.words)), kind="stable") for k in self.levels]
-        self.find_pair = HashIndex(self.pairs)
+def _longer(grams: np.ndarray) -> np.ndarray:
+    """Hashes of the grams one word longer that end at each token; the first has none and keeps its own."""
+    out = grams.copy()
+    out[1:] = mix(grams[:-1] * _ODD + grams[1:])
+    return out
 
 
-def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix((a.astype(U64) << U64(32)) | b.astype(U64))
+def _places(ptr: np.ndarray) -> np.ndarray:
+    """Each token's number within its text."""
+    return np.arange(ptr[-1]) - np.repeat(ptr[:-1], np.diff(ptr))
 
 
-def _symbols(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes with an end after every text, and the offsets of the texts."""
-    n = len(words.ptr) - 1
-    return np.insert(words.hash, words.ptr[1:], END), words.ptr + np.arange(n + 1)
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap that all keys ``k`` pass, and few others."""
+    bits = min(MOST_BITS, max(12, int(np.ceil(np.log2(max(1, 32 * keys.count()))))))
+    word, bit = F.shiftrightunsigned("k", 64 - (bits - 6)), F.expr("shiftleft(1L, cast(k & 63 as int))")
+    table = keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << (bits - 6), U64)
+    out[table["word"].to_numpy()] = table["bit"].to_numpy().astype(np.int64).view(U64)
+    return out
 
 
-def _states(tree: Tree, ids: np.ndarray, ptr: np.ndarray, depth: int) -> list[np.ndarray]:
-    """Candidate context of each length at every token, 0 where there is none."""
-    place = np.arange(len(ids)) - np.repeat(ptr[:-1], np.diff(ptr))
-    out, state = [], np.zeros(len(ids), np.int64)
-    for level in range(1, depth + 1):
-        before = np.full(len(ids), -1, np.int64)
-        before[level:] = ids[:-level]
-        ok = (place >= level) & (before >= 0)
-        if level > 1:
-            ok &= state > 0
-        at = np.flatnonzero(ok)
-        at = at[tree.contexts[before[at]]]
-        got = tree.find_level[level - 1].find(_pair_key(state[at], before[at]))
-        state = np.zeros(len(ids), np.int64)
-        state[at] = np.where(got >= 0, tree.level_number[level - 1][got] + tree.first[level - 1], 0)
-        out.append(state)
-    return out
+def _passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    shift = U64(64 - (len(bitmap).bit_length() - 1))
+    return (bitmap[(keys >> shift).astype(np.int64)] >> (keys & U64(63))) & U64(1) > 0
 
 
 class _Counts:
-    """Sums by 64-bit key, passed on when there are many."""
+    """Sums by 64-bit key, with other columns that the key implies, passed on when there are many."""
 
-    def __init__(self) -> None:
-        self.keys, self.sums, self.size = [], [], 0
+    def __init__(self, names: str = "k") -> None:
+        self.names, self.rows, self.sums, self.size = list(names), [], [], 0
 
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        k, c = np.unique(keys, return_counts=True)
-        self.keys.append(k)
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, one, c = np.unique(columns[0], return_index=True, return_counts=True)
+        self.rows.append([x[one] for x in columns])
         self.sums.append(c)
-        self.size += len(k)
+        self.size += len(one)
         if self.size > FLUSH:
-            k, c = self.merged()
-            self.keys, self.sums, self.size = [k], [c], len(k)
+            rows, c = self.merged()
+            self.rows, self.sums, self.size = [rows], [c], len(c)
             if self.size > FLUSH // 2:
                 yield from self.flush()
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, back = np.unique(np.concatenate(self.keys), return_inverse=True)
-        return keys, np.bincount(back, np.concatenate(self.sums), len(keys)).astype(np.int64)
+    def merged(self) -> tuple[list[np.ndarray], np.ndarray]:
+        columns = [np.concatenate(x) for x in zip(*self.rows, strict=True)]
+        keys, one, back = np.unique(columns[0], return_index=True, return_inverse=True)
+        return [x[one] for x in columns], np.bincount(back, np.concatenate(self.sums), len(keys)).astype(np.int64)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.keys:
-            k, c = self.merged()
-            self.keys, self.sums, self.size = [], [], 0
-            for a in range(0, len(k), 100_000):
-                yield pa.record_batch([pa.array(k[a : a + 100_000].view(np.int64)), pa.array(c[a : a + 100_000])], names=["k", "c"])
+        if self.rows:
+            rows, c = self.merged()
+            self.rows, self.sums, self.size = [], [], 0
+            for a in range(0, len(c), 100_000):
+                part = slice(a, a + 100_000)
+                yield pa.record_batch([*(pa.array(x[part].view(np.int64)) for x in rows), pa.array(c[part])], names=[*self.names, "c"])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,19 +133,19 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from counts.flush()
 
 
-def _count_pairs(tree: Tree, level: int):
-    """Counts of (candidate context of the length ``level``, next frequent word)."""
+def _count_grams(size: int, kept: np.ndarray):
+    """Counts of grams of ``size`` words (k) whose first (x) and last (s) ``size`` - 1 words pass the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree.index()
-        counts = _Counts()
+        counts = _Counts("kxs")
         for _, data, bounds in blocks(batches):
-            symbols, ptr = _symbols(split_words(data, bounds))
-            ids = tree.find_word.find(symbols)
-            state = _states(tree, ids, ptr, level)[-1]
-            at = np.flatnonzero(state > 0)
-            # next word 0 stands for any other word
-            yield from counts.add((state[at].astype(U64) << U64(32)) | (ids[at] + 1).astype(U64))
+            grams, ptr = _symbols(split_words(data, bounds))
+            for _ in range(size - 2):
+                grams = _longer(grams)
+            good = _passes(kept, grams)
+            at = np.flatnonzero((_places(ptr) >= size - 1) & good & np.concatenate([[False], good[:-1]]))
+            if len(at):
+                yield from counts.add(_longer(grams)[at], grams[at - 1], grams[at])
         yield from counts.flush()
 
     return run
@@ -161,152 +155,180 @@ def _summed(df: DataFrame) -> DataFrame:
     return df.groupBy("k").agg(F.sum("c").alias("c"))
 
 
-def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """A bounded table, sorted by its key."""
-    table = df.toArrow()
-    k, c = table["k"].to_numpy().astype(np.int64).view(U64), table["c"].to_numpy().astype(np.int64)
-    order = np.argsort(k, kind="stable")
-    return k[order], c[order]
-
-
-def _log_root(tree: Tree, pairs: dict[int, tuple[np.ndarray, np.ndarray]], state: int, words: np.ndarray) -> np.ndarray:
-    """log10 probability of words after a retained state."""
-    out, rest, add = np.zeros(len(words)), np.arange(len(words)), 0.0
-    while state and len(rest):
-        own, logs = pairs[state]
-        at = np.minimum(np.searchsorted(own, words[rest]), max(len(own) - 1, 0))
-        hit = own[at] == words[rest] if len(own) else np.zeros(len(rest), bool)
-        out[rest[hit]] = add + logs[at[hit]]
-        rest, add, state = rest[~hit], add + tree.spare[state], int(tree.parent[state])
-    out[rest] = add + tree.root[words[rest]]
-    return out
-
-
-def learn(train: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame, int, int]:
-    """The tree, the table of word counts (k, c), N and V, from a frame with a ``body`` column."""
+@dataclass
+class Model:
+    """The tables of a tree."""
+
+    n: int
+    v: int
+    counts: DataFrame  # k, c of every training word
+    grams: list[DataFrame]  # by size from two words: k, x (context), s (suffix), c, lp (log10 probability), gain
+    states: list[DataFrame]  # by length from one word: k, c, s (the context one word shorter), spare (log10 factor for other symbols) of retained contexts
+
+    def gains(self) -> DataFrame | None:
+        """k, c and v: the gain of each gram as a pair and as a context."""
+        parts = [g.where(F.col("gain") != 0).select("k", "c", F.col("gain").alias("v")) for g in self.grams]
+        parts += [s.select("k", "c", F.col("spare").alias("v")) for s in self.states]
+        out = None
+        for part in parts:
+            out = part if out is None else out.unionByName(part)
+        return None if out is None else out.groupBy("k").agg(F.max("c").alias("c"), F.sum("v").alias("v"))
+
+
+def grow(train: DataFrame, depth: int = DEPTH) -> Model:
+    """The tree's tables, from a frame with a ``body`` column."""
     counts = stored(_summed(train.transform(in_arrow, _count_words, "k long, c long")), "word-counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"])
-    words, c = _collected(counts.where(F.col("c") >= max(LEAST, WORD_SHARE * n)))
-    tree = Tree(words, np.log10((c + 1) / (n + v + 1)), c >= max(LEAST, CONTEXT_SHARE * n))
-    pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    new, k_words = np.flatnonzero(tree.contexts & (words != END)).astype(np.int64), len(words)
-    for level in range(1, depth + 1):
-        if not len(new):
+    model = Model(n, v, counts, [], [])
+    kept = counts.where(F.col("c") >= LEAST).select("k", "c", F.lit(0).cast("long").alias("s"), F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("lp"))
+    for size in range(2, depth + 2):
+        if kept.isEmpty():
             break
-        first = len(tree.retained)
-        tree.levels.append(new)
-        tree.first.append(first)
-        grow = np.arange(first, first + len(new))
-        shorter = new // max(k_words, 1)
-        tree.retained = np.concatenate([tree.retained, np.zeros(len(new), bool)])
-        tree.spare = np.concatenate([tree.spare, np.zeros(len(new))])
-        below = np.where(tree.retained[shorter], shorter, tree.parent[shorter]) if level > 1 else np.zeros(len(new), np.int64)
-        tree.parent = np.concatenate([tree.parent, below])
-        seen = stored(_summed(train.transform(in_arrow, _count_pairs(tree, level), "k long, c long")), f"contexts-{level}")
-        sums = seen.groupBy(F.shiftright("k", 32).alias("k")).agg(F.sum("c").alias("c"))
-        states, of_state = _collected(sums)
-        least = max(LEAST, PAIR_SHARE * n)
-        keys, c = _collected(seen.where((F.col("c") >= least) & (F.col("k").bitwiseAND(0xFFFFFFFF) > 0)))
-        owner, symbol = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64) - 1
-        edges = np.searchsorted(owner, np.concatenate([grow, [first + len(new)]]))
-        total_of = dict(zip(states.astype(np.int64).tolist(), of_state.tolist(), strict=True))
-        for i, state in enumerate(grow.tolist()):
-            own, count, whole = symbol[edges[i] : edges[i + 1]], c[edges[i] : edges[i + 1]], total_of.get(state, 0)
-            if not len(own):
-                continue
-            under = _log_root(tree, pairs, int(tree.parent[state]), own)
-            p = (count - DISCOUNT) / whole
-            left, left_under = 1 - p.sum(), max(1e-9, 1 - np.power(10.0, under).sum())
-            spare = np.log10(max(left, 1e-12) / left_under)
-            divergence = float((count * (np.log10(p) - under)).sum() + (whole - count.sum()) * spare) * np.log(10)
-            if divergence > 0.5 * (len(own) + 1) * np.log(whole) + np.log(n):
-                tree.retained[state], tree.spare[state] = True, spare
-                pairs[state] = (own, np.log10(p))
-        if level < depth:
-            # a longer context puts a frequent word before this one; it is as frequent as its pair (word, state's words)
-            new = _longer(train, tree, level, max(LEAST, CONTEXT_SHARE * n))
-    if pairs:
-        state = np.concatenate([np.full(len(w), s, np.int64) for s, (w, _) in pairs.items()])
-        word = np.concatenate([w for w, _ in pairs.values()])
-        logs = np.concatenate([x for _, x in pairs.values()]) - tree.root[word]
-        keys = _pair_key(state, word)
-        order = np.argsort(keys, kind="stable")
-        tree.pairs, tree.gain = keys[order], logs[order]
-    return tree, counts, n, v
+        rows = train.transform(in_arrow, _count_grams(size, _bitmap(kept.select("k"))), "k long, x long, s long, c long")
+        rows = rows.groupBy("k").agg(F.sum("c").alias("c"), F.first("x").alias("x"), F.first("s").alias("s"))
+        rows = stored(rows.where(F.col("c") >= LEAST), f"grams-{size}")
+        # a kept gram occurs LEAST times, so its suffix and its context are kept, and have no more grams than occurrences
+        suffixes = kept.select(F.col("k").alias("s"), F.col("lp").alias("under"), F.col("c").alias("_of_suffix"))
+        rows = stored(join_even(rows, suffixes, "s", "_of_suffix", n).select("k", "x", "s", "c", "under"), f"suffixes-{size}")
+        states = stored(_states(rows, kept, n), f"states-{size}")
+        joined = join_even(rows, states.select("x", "spare", "whole", "retained"), "x", "whole", n)
+        lp = F.when(F.col("retained"), F.log10((F.col("c") - DISCOUNT) / F.col("whole"))).otherwise(F.col("under"))
+        gain = F.when(F.col("retained"), F.col("lp") - F.col("under") - F.col("spare")).otherwise(F.lit(0.0))
+        kept = stored(joined.withColumn("lp", lp).select("k", "x", "s", "c", "lp", gain.alias("gain")), f"kept-{size}")
+        model.grams.append(kept)
+        model.states.append(states.where("retained").select(F.col("x").alias("k"), F.col("whole").alias("c"), "s", "spare"))
+    return model
+
+
+def _states(rows: DataFrame, kept: DataFrame, n: int) -> DataFrame:
+    """x, s, whole, spare and retained of every context of ``rows``: the sums of its test, and its own count from ``kept``."""
+    c, under = F.col("c"), F.col("under")
+    sums = rows.groupBy("x").agg(
+        F.count("*").alias("own"), F.sum("c").alias("seen"), F.sum(c - DISCOUNT).alias("left"), F.sum(c * F.log10(c - DISCOUNT)).alias("logs"),
+        F.sum(c * under).alias("unders"), F.sum(F.pow(F.lit(10.0), under)).alias("mass"),
+    )
+    out = sums.join(kept.select(F.col("k").alias("x"), "s", F.col("c").alias("whole")), "x")
+    whole = F.col("whole")
+    left, left_under = F.greatest(F.lit(1e-12), 1 - F.col("left") / whole), F.greatest(F.lit(1e-9), 1 - F.col("mass"))
+    out = out.withColumn("spare", F.log10(left / left_under))
+    divergence = (F.col("logs") - F.col("seen") * F.log10(whole) - F.col("unders") + (whole - F.col("seen")) * F.col("spare")) * float(np.log(10))
+    return out.select("x", "s", "whole", "spare", (divergence > 0.5 * (F.col("own") + 1) * F.log(whole) + float(np.log(max(n, 1)))).alias("retained"))
 
 
-def _count_longer(tree: Tree, level: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree.index()
-        counts = _Counts()
-        for _, data, bounds in blocks(batches):
-            symbols, ptr = _symbols(split_words(data, bounds))
-            ids = tree.find_word.find(symbols)
-            state = _states(tree, ids, ptr, level)[-1]
-            before = np.full(len(ids), -1, np.int64)
-            before[level + 1 :] = ids[: -level - 1]
-            place = np.arange(len(ids)) - np.repeat(ptr[:-1], np.diff(ptr))
-            at = np.flatnonzero((state > 0) & (before >= 0) & (place > level))
-            at = at[tree.contexts[before[at]]]
-            yield from counts.add((state[at].astype(U64) << U64(32)) | before[at].astype(U64))
-        yield from counts.flush()
+def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix((a.astype(U64) << U64(32)) | b.astype(U64))
 
-    return run
 
+@dataclass
+class Tree:
+    """A small model's states in memory, to look at."""
 
-def _longer(train: DataFrame, tree: Tree, level: int, least: float) -> np.ndarray:
-    """Keys (candidate of this length, word before it) that are frequent enough."""
-    keys, _ = _collected(_summed(train.transform(in_arrow, _count_longer(tree, level), "k long, c long")).where(F.col("c") >= least))
-    return ((keys >> U64(32)) * U64(len(tree.words)) + (keys & U64(0xFFFFFFFF))).astype(np.int64)
-
-
-def _gains(tree: Tree, ids: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """log10 of each token's probability at its longest suffix state over the root's."""
-    state = np.zeros(len(ids), np.int64)
-    for found in _states(tree, ids, ptr, len(tree.levels)):
-        state = np.where((found > 0) & tree.retained[found], found, state)
-    out, rest = np.zeros(len(ids)), np.flatnonzero(state)
-    while len(rest):
-        at = np.full(len(rest), -1, np.int64)
-        known = np.flatnonzero(ids[rest] >= 0)
-        at[known] = tree.find_pair.find(_pair_key(state[rest[known]], ids[rest[known]]))
-        hit = at >= 0
-        out[rest[hit]] += tree.gain[at[hit]]
-        rest = rest[~hit]
-        out[rest] += tree.spare[state[rest]]
-        state[rest] = tree.parent[state[rest]]
-        rest = rest[state[rest] > 0]
-    return out
+    words: np.ndarray  # sorted hashes of kept words, the end among them
+    root: np.ndarray  # log10 probability of each
+    retained: np.ndarray = field(default_factory=lambda: np.array([True]))  # state 0 is the root
+    parent: np.ndarray = field(default_factory=lambda: np.array([0]))
+    spare: np.ndarray = field(default_factory=lambda: np.array([0.0]))  # log10 factor of the shorter state for other symbols
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))  # mixed keys (state, word), sorted
+    gain: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10 of probability over root's
+
+    def index(self) -> None:
+        self.find_pair = HashIndex(self.pairs)
+
+
+def learn(train: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame, int, int]:
+    """A small model in memory, the table of word counts (k, c), N and V; scoring uses the tables."""
+    model = grow(train, depth)
+    rows = sorted((r["k"] % 2**64, r["c"]) for r in model.counts.where(F.col("c") >= LEAST).collect())
+    tree = Tree(np.array([k for k, _ in rows], U64), np.log10(np.array([c + 1 for _, c in rows]) / (model.n + model.v + 1)))
+    number, shorter, spare = {}, {}, [0.0]
+    for level, states in enumerate(model.states):
+        shorter |= {r["k"]: r["s"] for r in model.grams[level - 1].select("k", "s").collect()} if level else {}
+        for r in states.collect():
+            number[r["k"]] = len(spare)
+            spare.append(r["spare"])
+    parent = [0]
+    for k in number:
+        k = shorter.get(k)
+        while k is not None and k not in number:
+            k = shorter.get(k)
+        parent.append(number.get(k, 0))
+    word_of = {k: i for i, k in enumerate(tree.words.view(np.int64).tolist())}
+    state, word, logs = [], [], []
+    last: dict[int, int] = {k: k for k in word_of}
+    for grams in model.grams:
+        ends = {}
+        for r in grams.collect():
+            ends[r["k"]] = last[r["s"]]
+            if r["x"] in number:
+                state.append(number[r["x"]])
+                word.append(word_of[ends[r["k"]]])
+                logs.append(r["lp"])
+        last = ends
+    tree.spare, tree.parent, tree.retained = np.array(spare), np.array(parent), np.ones(len(spare), bool)
+    if state:
+        keys = _pair_key(np.array(state), np.array(word))
+        order = np.argsort(keys, kind="stable")
+        tree.pairs, tree.gain = keys[order], (np.array(logs) - tree.root[word])[order]
+    return tree, model.counts, model.n, model.v
+
+
+def _collected(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """A bounded table, sorted by its key."""
+    table = df.toArrow()
+    k, x = table["k"].to_numpy().astype(np.int64).view(U64), table[value].to_numpy()
+    order = np.argsort(k, kind="stable")
+    return k[order], x[order]
 
 
-ROWS = "row long, doc_id long, k long, n_tokens long, n_known long, base double, gain double"
+ROWS = "row long, doc_id long, k long, kind int, times long, n_tokens long, n_known long, base double, gain double"
+TEXT, WORD, GRAM = 0, 1, 2
 
 
-def _score(tree: Tree):
-    """A row a text with what the tree knows, and a row for every word that only the table knows."""
+def _score(words: np.ndarray, root: np.ndarray, grams: np.ndarray, gains: np.ndarray, others: np.ndarray | None, sizes: int):
+    """A row a text with what the broadcast tables know, a row for every other word, and one for every other gram of a text that may have a gain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree.index()
+        find_word, find_gram = HashIndex(words), HashIndex(grams)
         for rows, data, bounds in blocks(batches):
             symbols, ptr = _symbols(split_words(data, bounds))
-            ids = tree.find_word.find(symbols)
+            ids = find_word.find(symbols)
             n = rows.num_rows
-            text = np.repeat(np.arange(n), np.diff(ptr))
+            text, place = np.repeat(np.arange(n), np.diff(ptr)), _places(ptr)
             known = ids >= 0
-            base = np.bincount(text[known], tree.root[ids[known]], n)
-            gain = np.bincount(text, _gains(tree, ids, ptr), n)
+            base = np.bincount(text[known], root[ids[known]], n)
+            gain, rare = np.zeros(n), np.flatnonzero(~known)
+            owners, keys, times = [text[rare]], [symbols[rare]], [np.ones(len(rare), np.int64)]
+            each = symbols
+            for size in range(1, sizes + 1):
+                each = _longer(each) if size > 1 else each
+                at = np.flatnonzero(place >= size - 1)
+                found = find_gram.find(each[at])
+                hit = found >= 0
+                gain += np.bincount(text[at[hit]], gains[found[hit]], n) if hit.any() else 0
+                at = at[~hit]
+                at = at[_passes(others, each[at])] if others is not None else at[:0]
+                if len(at):
+                    order = np.lexsort((each[at], text[at]))
+                    at = at[order]
+                    head = np.flatnonzero(np.concatenate([[True], (np.diff(text[at]) != 0) | (each[at][1:] != each[at][:-1])]))
+                    owners.append(text[at[head]])
+                    keys.append(each[at[head]])
+                    times.append(np.diff(np.append(head, len(at))))
+            owner, more = np.concatenate(owners), sum(len(x) for x in owners)
             number, doc = rows.column("row").to_numpy(), rows.column("doc_id")
-            rare = np.flatnonzero(~known)
-            k = np.concatenate([mix(number.astype(U64)), symbols[rare]]).view(np.int64)
-            zeros = np.zeros(len(rare))
+            zeros = np.zeros(more)
+            whole = zeros.astype(np.int64)
+            kind = np.full(n + more, GRAM, np.int32)
+            kind[:n], kind[n : n + len(rare)] = TEXT, WORD
             yield pa.record_batch(
                 [
-                    pa.array(np.concatenate([number, number[text[rare]]])), pa.concat_arrays([doc, doc.take(pa.array(text[rare]))]), pa.array(k),
-                    pa.array(np.concatenate([np.diff(ptr), zeros.astype(np.int64)])), pa.array(np.concatenate([np.bincount(text[known], minlength=n), zeros.astype(np.int64)])),
+                    pa.array(np.concatenate([number, number[owner]])), pa.concat_arrays([doc, doc.take(pa.array(owner))]),
+                    pa.array(np.concatenate([mix(number.astype(U64)), *keys]).view(np.int64)), pa.array(kind), pa.array(np.concatenate([np.zeros(n, np.int64), *times])),
+                    pa.array(np.concatenate([np.diff(ptr), whole])), pa.array(np.concatenate([np.bincount(text[known], minlength=n), whole])),
                     pa.array(np.concatenate([base, zeros])), pa.array(np.concatenate([gain, zeros])),
                 ],
-                names=["row", "doc_id", "k", "n_tokens", "n_known", "base", "gain"],
+                names=["row", "doc_id", "k", "kind", "times", "n_tokens", "n_known", "base", "gain"],
             )
 
     return run
@@ -314,12 +336,26 @@ def _score(tree: Tree):
 
 def score(docs: DataFrame, in_training: Column, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score; learned from the rows where ``in_training``."""
-    tree, counts, n, v = learn(docs.where(in_training).select(body(text_col)), depth)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), body(text_col)).transform(in_arrow, _score(tree), ROWS)
-    rows = rows.join(counts.where(F.col("c") < max(LEAST, WORD_SHARE * n)).hint("shuffle_merge"), "k", "left")
-    unseen = F.col("n_tokens") == 0
-    rare = F.when(unseen, F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))).otherwise(F.lit(0.0))
+    model = grow(docs.where(in_training).select(body(text_col)), depth)
+    n, v = model.n, model.v
+    many = max(LEAST, SHARE * n)
+    words, c = _collected(model.counts.where(F.col("c") >= many), "c")
+    root = np.log10((c + 1) / (n + v + 1))
+    table = model.counts.where(F.col("c") < many).select("k", "c", F.lit(None).cast("double").alias("v"))
+    grams, gains, others = np.zeros(0, U64), np.zeros(0), None
+    every = model.gains()
+    if every is not None:
+        every = stored(every, "gains")
+        grams, gains = _collected(every.where(F.col("c") >= many), "v")
+        rest = every.where(F.col("c") < many).select("k", F.lit(None).cast("long").alias("c"), "v")
+        others = _bitmap(rest.select("k"))
+        table = table.unionByName(rest).groupBy("k").agg(F.max("c").alias("c"), F.sum("v").alias("v"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), body(text_col))
+    rows = rows.transform(in_arrow, _score(words, root, grams, gains, others, len(model.grams) + 1), ROWS).join(table.hint("shuffle_merge"), "k", "left")
+    word = F.col("kind") == WORD
+    rare = F.when(word, F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))).otherwise(F.lit(0.0))
+    gain = F.when(F.col("kind") == GRAM, F.col("times") * F.coalesce("v", F.lit(0.0))).otherwise(F.lit(0.0))
     out = rows.groupBy("row", "doc_id").agg(
-        (F.sum("n_tokens")).alias("n_tokens"), (F.sum("n_known") + F.sum(F.when(unseen & F.col("c").isNotNull(), 1).otherwise(0))).alias("n_known"), F.sum(F.col("base") + rare).alias("base_score"), F.sum("gain").alias("gain")
+        F.sum("n_tokens").alias("n_tokens"), (F.sum("n_known") + F.sum(F.when(word & F.col("c").isNotNull(), 1).otherwise(0))).alias("n_known"), F.sum(F.col("base") + rare).alias("base_score"), F.sum(F.col("gain") + gain).alias("gain")
     )
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
