@@ -2,8 +2,8 @@
 
 A text is cut into all windows of ``WINDOW`` words at every ``STRIDE`` words, so
 neighbours overlap by half.  A word enters as a word vector (by hash) and a
-character vector (the mean of the vectors of its character n-grams, with marks at
-its ends, and their strongest evidence).  A GRU reads the window in each
+character vector (the mean of the vectors of all its character n-grams, with marks
+at its ends, and their strongest evidence).  A GRU reads the window in each
 direction, attention pools the states, a logistic unit scores the window.  A
 text's score is that of its highest window, calibrated on texts.
 
@@ -42,12 +42,12 @@ WORD_BITS, GRAM_BITS = 18, 16
 WORD_DIM = GRAM_DIM = 6
 HIDDEN, ATTENTION = 8, 8
 GRAMS = (3, 4, 5)
-#: A word's characters beyond this many bytes are left to its word vector.
-WORD_BYTES = 24
 #: Words whose vectors a worker keeps; when there are more, it starts anew.
 KNOWN_WORDS = 500_000
 #: Words or windows whose vectors are made at once.
 AT_ONCE = 20_000
+#: Bytes or n-grams of words whose vectors are made at once.
+SIZE_AT_ONCE = 400_000
 #: Bytes of text scored at once.
 UNIT = 2 << 20
 #: Small samples are gone through more often, to make this many steps.
@@ -62,23 +62,34 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the character n-grams of words, and how many each word has."""
-    size = np.minimum(end - start, WORD_BYTES)
-    text = np.zeros((len(start), WORD_BYTES + 2), np.uint64)
-    text[:, 0] = 2
-    at = start[:, None] + np.arange(WORD_BYTES)
-    inside = np.arange(WORD_BYTES) < size[:, None]
-    text[:, 1:-1] = np.where(inside, data[np.minimum(at, max(len(data) - 1, 0))], 0)
-    text[np.arange(len(start)), size + 1] = 3
-    found, there = [], []
-    for n in GRAMS:
-        packed = np.zeros((len(start), text.shape[1] - n + 1), U64)
-        for i in range(n):
-            packed |= text[:, i : i + packed.shape[1]] << U64(8 * i)
-        found.append(mix(packed * U64(8) + U64(n)) >> U64(64 - GRAM_BITS))
-        there.append(np.arange(packed.shape[1]) <= (size + 2 - n)[:, None])
-    found, there = np.concatenate(found, axis=1), np.concatenate(there, axis=1)
-    return found[there].astype(np.int32), there.sum(axis=1)
+    """Buckets of the character n-grams of whole words, and how many each word has."""
+    size = end - start
+    heads = np.cumsum(size + 2) - (size + 2)
+    text = np.zeros(int((size + 2).sum()) + max(GRAMS), np.uint8)
+    text[heads] = 2
+    text[take_pieces(heads + 1, size)] = data[take_pieces(start, size)]
+    text[heads + size + 1] = 3
+    counts = np.maximum(size[:, None] + 3 - np.array(GRAMS), 0)
+    total = counts.sum(axis=1)
+    out = np.zeros(int(total.sum()), np.int32)
+    to = (np.cumsum(total) - total)[:, None] + np.cumsum(counts, axis=1) - counts
+    for i, n in enumerate(GRAMS):
+        at = take_pieces(heads, counts[:, i])
+        packed = np.zeros(len(at), U64)
+        for k in range(n):
+            packed |= text[at + k].astype(U64) << U64(8 * k)
+        out[take_pieces(to[:, i], counts[:, i])] = mix(packed * U64(8) + U64(n)) >> U64(64 - GRAM_BITS)
+    return out, total
+
+
+def _parts(size: np.ndarray) -> Iterator[slice]:
+    """Runs of at most ``AT_ONCE`` words with about ``SIZE_AT_ONCE`` in all; a larger word comes alone."""
+    sums, at = np.concatenate([[0], np.cumsum(size)]), 0
+    while at < len(size):
+        to = int(np.searchsorted(sums, sums[at] + SIZE_AT_ONCE, side="right")) - 1
+        to = min(max(to, at + 1), at + AT_ONCE, len(size))
+        yield slice(at, to)
+        at = to
 
 
 class Features:
@@ -88,7 +99,8 @@ class Features:
         hashes, one, back = np.unique(words.hash, return_index=True, return_inverse=True)
         self.hash, self.of_token = hashes, back.astype(np.int64)
         self.word = (hashes >> U64(64 - WORD_BITS)).astype(np.int64)
-        parts = [_grams(words.data, words.start[part], words.end[part]) for part in np.array_split(one, max(1, -(-len(one) // AT_ONCE)))]
+        start, end = words.start[one], words.end[one]
+        parts = [_grams(words.data, start[part], end[part]) for part in _parts(end - start)] or [_grams(words.data, start, end)]
         self.grams, self.n_grams = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.heads = np.cumsum(self.n_grams) - self.n_grams
 
@@ -97,12 +109,17 @@ class Features:
         words = np.arange(len(self.word)) if words is None else words
         out = np.zeros((len(words) + 1, WORD_DIM + GRAM_DIM + 1), np.float32)
         out[:-1, :WORD_DIM] = p["words"][self.word[words]]
-        for i in range(0, len(words), AT_ONCE):
-            part = words[i : i + AT_ONCE]
+        for rows in _parts(self.n_grams[words]):
+            part = words[rows]
             size = self.n_grams[part]
+            if len(part) == 1:
+                grams = self.grams[self.heads[part[0]] : self.heads[part[0]] + size[0]]
+                pieces = [grams[i : i + SIZE_AT_ONCE] for i in range(0, len(grams), SIZE_AT_ONCE)]
+                out[rows, WORD_DIM:-1] = np.sum([p["grams"][x].sum(axis=0) for x in pieces], axis=0) / size[0]
+                out[rows, -1] = max(p["odds"][x].max() for x in pieces)
+                continue
             grams = self.grams[take_pieces(self.heads[part], size)]
             heads = np.cumsum(size) - size
-            rows = slice(i, i + len(part))
             out[rows, WORD_DIM:-1] = np.add.reduceat(p["grams"][grams], heads) / size[:, None]
             out[rows, -1] = np.maximum.reduceat(p["odds"][grams], heads)
         return out

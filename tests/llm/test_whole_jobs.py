@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import suffix_tree
+from orrery.llm import suffix_tree, toxicity
+from orrery.llm._text import split_words
 
 
 def words(text):
@@ -59,3 +60,28 @@ def test_suffix_tree_by_brute_force(spark, monkeypatch, share):
     for i, t in [*enumerate(texts), (500, "b c zz a b c d q r"), (501, None)]:
         t = [*words(t), None]
         assert got[i] == pytest.approx(sum(log_p(tuple(t[max(0, j - 3) : j]), w) for j, w in enumerate(t)))
+
+
+def test_toxic_word_behind_byte_24(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    plain = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(200):
+        text = [str(x) for x in rng.choice(plain, 40)]
+        if i % 2:
+            text[int(rng.integers(40))] = "grubvilex"
+        rows.append((" ".join(text).encode(), i % 2))
+    p = toxicity.train(rows)
+    clean = " ".join(plain[:20])
+    glued = "_".join(plain[20:40])
+    df = spark.createDataFrame([(1, f"{clean} {glued}_tail"), (2, f"{clean} {glued}_grubvilex_tail")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, p).collect()}
+    assert got[2] > got[1]
+    text = ("ab " + "x" * 100 + "grubvilex").encode()
+    features = toxicity.Features(split_words(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
+    assert sorted(features.n_grams.tolist()) == [2 + 1, 109 + 108 + 107]
+    assert features.vectors(p)[:-1, -1].max() > 0.5
+    whole = features.vectors(p)
+    monkeypatch.setattr(toxicity, "SIZE_AT_ONCE", 7)
+    again = toxicity.Features(split_words(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
+    assert (again.grams == features.grams).all() and again.vectors(p) == pytest.approx(whole, abs=1e-6)
