@@ -1,7 +1,7 @@
 """Language identification by segmentation-marginalised unigrams.
 
-The pieces are those of a fixed public byte-level vocabulary (up to ``LONGEST``
-bytes each), so every text can be segmented.  Each language has a probability
+The pieces are all those of a fixed public byte-level vocabulary, so every text
+can be segmented.  Each language has a probability
 for every piece.  A word's likelihood in a language is the sum over all its
 segmentations of the product of their pieces' probabilities, by the forward
 algorithm; a text's is the product over its words.  Piece probabilities are fit
@@ -11,8 +11,8 @@ segmentations of the training words.
 Fitting uses at most ``SAMPLE`` labelled texts for each of the languages, chosen
 by a hash of the id, on the driver (a bounded sample; the table of probabilities
 has one row a piece of the vocabulary).  Scoring is numpy over Arrow batches,
-once for each distinct word of a block; words over ``WORD_BYTES`` bytes are
-scored in parts of that size.  Nothing is shuffled.
+once for each distinct word of a block.  Words are fit and scored whole; sums of
+words over ``WORD_BYTES`` bytes are rescaled as they go.  Nothing is shuffled.
 
 Defined cases: a text that is null or has no letter gets ``und`` and score 0;
 without any labelled text every prediction is ``und``; equal scores go to the
@@ -35,8 +35,14 @@ from pyspark.sql import functions as F
 from orrery.llm._text import U64, HashIndex, blocks, body, split_words
 from orrery.storage import in_arrow
 
-LONGEST = 6
+#: Bytes of the longest piece of the default vocabulary.
+LONGEST = 128
+#: Words up to this size are taken with others of their size, without rescaling.
 WORD_BYTES = 32
+#: Positions after which sums are rescaled.
+RESCALE = 32
+#: Bytes of longer words that are taken at once; a larger word comes alone.
+AT_ONCE = 400_000
 SAMPLE = 400
 ROUNDS = 4
 #: Bytes of text scored at once.
@@ -52,20 +58,28 @@ def vocabulary() -> str:
 
 
 class Pieces:
-    """The vocabulary's pieces of up to ``LONGEST`` bytes, found by their bytes."""
+    """All pieces of the vocabulary, found byte by byte in a tree of their prefixes."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             known = {base64.b64decode(line.split()[0]).lower() for line in f if line.strip()}
         known |= {bytes([b]) for b in range(256)}
-        self.pieces = sorted(p for p in known if 0 < len(p) <= LONGEST)
-        keys = np.array([int.from_bytes(p, "little") << 8 | len(p) for p in self.pieces], U64)
+        self.pieces = sorted(p for p in known if p)
+        self.longest = max(len(p) for p in self.pieces)
+        nodes = {b"": 0}
+        for p in self.pieces:
+            for n in range(1, len(p) + 1):
+                nodes.setdefault(p[:n], len(nodes))
+        number = {p: i for i, p in enumerate(self.pieces)}
+        self.piece = np.array([number.get(p, -1) for p in nodes])
+        keys = np.array([nodes[p[:-1]] << 9 | p[-1] for p in nodes if p], U64)
         self.index = HashIndex(keys)
-        self.number = np.argsort(keys, kind="stable")
+        self.node = np.argsort(keys, kind="stable") + 1
 
-    def find(self, packed: np.ndarray, length: int) -> np.ndarray:
-        at = self.index.find((packed << U64(8)) | U64(length))
-        return np.where(at >= 0, self.number[at], -1)
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The nodes one byte on, or -1."""
+        at = self.index.find((node.astype(U64) << U64(9)) | byte.astype(U64))
+        return np.where(at >= 0, self.node[at], -1)
 
 
 @dataclass
@@ -78,49 +92,87 @@ class Model:
 
 
 def _groups(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(indices, bytes with a space before) of words of like lengths."""
+    """(indices, bytes with a space before and ``PAD`` behind) of words of like lengths."""
     size = end - start
     order = np.argsort(size, kind="stable")
-    cuts = np.searchsorted(size[order], np.arange(WORD_BYTES + 2))
-    for n in range(1, WORD_BYTES + 1):
-        same = order[cuts[n] : cuts[n + 1]]
-        for part in np.array_split(same, -(-len(same) // 20_000)) if len(same) else []:
-            text = np.full((len(part), n + 1), 32, np.uint8)
-            text[:, 1:] = data[start[part][:, None] + np.arange(n)]
-            yield part, text
-
-
-def _found(pieces: Pieces, text: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-    """Piece numbers of text[:, i:i+n], by (i, n)."""
-    out = {}
-    for i in range(text.shape[1]):
-        packed = np.zeros(len(text), U64)
-        for n in range(1, min(LONGEST, text.shape[1] - i) + 1):
-            packed = packed | (text[:, i + n - 1].astype(U64) << U64(8 * (n - 1)))
-            out[i, n] = pieces.find(packed, n)
+    sizes, at = size[order], 0
+    while at < len(order):
+        n = int(sizes[at])
+        if n <= WORD_BYTES:
+            to = min(int(np.searchsorted(sizes, n, side="right")), at + 20_000)
+        else:
+            to = min(int(np.searchsorted(sizes, n + n // 4, side="right")), at + max(1, AT_ONCE // n))
+        part, n = order[at:to], int(sizes[to - 1])
+        text = np.full((len(part), n + 1), PAD, np.int16)
+        text[:, 0] = 32
+        inside = np.arange(n) < size[part][:, None]
+        text[:, 1:][inside] = data[(start[part][:, None] + np.arange(n))[inside]]
+        yield part, text
+        at = to
+
+
+#: No byte, and in no piece.
+PAD = 256
+Found = list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _found(pieces: Pieces, text: np.ndarray) -> Found:
+    """By the size n of pieces: n, their numbers, their words, and the offsets of those that start at each byte."""
+    rows, length = text.shape
+    flat = np.ascontiguousarray(text.T).ravel()
+    at, node, out, n = np.arange(len(flat)), np.zeros(len(flat), np.int64), [], 0
+    while len(at):
+        node = pieces.step(node, flat[at + n * rows])
+        at, node, n = at[node >= 0], node[node >= 0], n + 1
+        piece = pieces.piece[node]
+        hit = at[piece >= 0]
+        if len(hit):
+            out.append((n, piece[piece >= 0], hit % rows, np.searchsorted(hit, np.arange(length + 1) * rows)))
+        more = at + n * rows < len(flat)
+        at, node = at[more], node[more]
     return out
 
 
-def _forward(found: dict, length: int, table: np.ndarray) -> np.ndarray:
-    """sums[j]: probability of all segmentations of the first j bytes."""
-    rows = len(found[0, 1])
-    sums = np.zeros((length + 1, rows, table.shape[1]))
-    sums[0] = 1
-    for j in range(1, length + 1):
-        for n in range(1, min(LONGEST, j) + 1):
-            sums[j] += sums[j - n] * table[found[j - n, n]]
-    return sums
+def _sums(pieces: Pieces, found: Found, text: np.ndarray, table: np.ndarray, back: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """sums[j]: probability of all segmentations of the first j bytes (``back``: of those from byte j on), over exp(logs[j])."""
+    rows, length = text.shape
+    long = length > WORD_BYTES + 1
+    kind = np.longdouble if long else float
+    sums = np.zeros((length + 1, rows, table.shape[1]), kind)
+    logs = np.zeros(sums.shape) if long else None
+    if back:
+        sums[(text < PAD).sum(axis=1), np.arange(rows)] = 1
+    else:
+        sums[0] = 1
+    for step in range(1, length + 1):
+        j = length - step if back else step
+        if long:
+            logs[j] = logs[j + 1] if back else logs[j - 1]
+        for n, piece, row, cut in found:
+            first, other = (j, j + n) if back else (j - n, j - n)
+            if first < 0 or other > length:
+                break
+            a, b = cut[first], cut[first + 1]
+            if a < b:
+                r = row[a:b]
+                sums[j, r] += sums[other, r] * table[piece[a:b]]
+        if long and step % RESCALE == 0:
+            window = slice(j, j + pieces.longest) if back else slice(max(0, j + 1 - pieces.longest), j + 1)
+            # a row whose text has no sum here is over, or hasn't begun
+            by = np.where(sums[j] > 0, sums[j], 1)
+            sums[window] /= by
+            logs[window] += np.log(by).astype(float)
+    return sums, logs
 
 
 def word_scores(pieces: Pieces, table: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """log likelihood of each word (a row) in each language; ``table`` ends with a row of zeros."""
-    over = np.maximum(1, -(-(end - start) // WORD_BYTES))
-    heads = np.repeat(start, over) + WORD_BYTES * (np.arange(int(over.sum())) - np.repeat(np.cumsum(over) - over, over))
-    tails = np.minimum(heads + WORD_BYTES, np.repeat(end, over))
-    out = np.zeros((len(heads), table.shape[1]))
-    for part, text in _groups(data, heads, tails):
-        out[part] = np.log(_forward(_found(pieces, text), text.shape[1], table)[-1])
-    return np.add.reduceat(out, np.cumsum(over) - over) if len(start) else out
+    out = np.zeros((len(start), table.shape[1]))
+    for part, text in _groups(data, start, end):
+        sums, logs = _sums(pieces, _found(pieces, text), text, table)
+        last, rows = (text < PAD).sum(axis=1), np.arange(len(part))
+        out[part] = np.log(sums[last, rows]) + (0 if logs is None else logs[last, rows])
+    return out
 
 
 def _padded(p: np.ndarray) -> np.ndarray:
@@ -136,23 +188,22 @@ def fit(texts: list[tuple[str, bytes]], path: str, rounds: int = ROUNDS) -> Mode
         data = np.frombuffer(b"\n".join(raw), np.uint8)
         words = split_words(data, np.array([0, len(data)]))
         _, one, count = np.unique(words.hash, return_index=True, return_counts=True)
-        start, end = words.start[one], np.minimum(words.end[one], words.start[one] + WORD_BYTES)
-        groups = [(count[part].astype(float), _found(pieces, text), text.shape[1]) for part, text in _groups(words.data, start, end)]
+        groups = [(count[part].astype(float), _found(pieces, text), text) for part, text in _groups(words.data, words.start[one], words.end[one])]
         p = np.array([0.05 ** len(x) for x in pieces.pieces])[:, None]
         p /= p.sum()
         for _ in range(rounds):
             expected = np.zeros(len(pieces.pieces) + 1)
             table = _padded(p)
-            for weight, found, length in groups:
-                forth = _forward(found, length, table)[..., 0]
-                back = np.zeros_like(forth)
-                back[length] = 1
-                for i in range(length - 1, -1, -1):
-                    for n in range(1, min(LONGEST, length - i) + 1):
-                        back[i] += table[found[i, n], 0] * back[i + n]
-                scale = weight / forth[length]
-                for (i, n), ids in found.items():
-                    expected += np.bincount(np.where(ids < 0, len(expected) - 1, ids), scale * forth[i] * table[ids, 0] * back[i + n], len(expected))
+            for weight, found, text in groups:
+                (forth, up), (behind, down) = _sums(pieces, found, text, table), _sums(pieces, found, text, table, back=True)
+                last, rows = (text < PAD).sum(axis=1), np.arange(len(text))
+                whole, log = forth[last, rows, 0], 0 if up is None else up[last, rows, 0]
+                for n, ids, row, cut in found:
+                    i = np.repeat(np.arange(text.shape[1]), np.diff(cut))
+                    share = forth[i, row, 0] * table[ids, 0] * behind[i + n, row, 0] / whole[row]
+                    if up is not None:
+                        share = share * np.exp((up[i, row, 0] + down[i + n, row, 0] - log[row]).astype(np.longdouble))
+                    expected += np.bincount(ids, weight[row] * share.astype(float), len(expected))
             grown = expected[:-1] + 0.02 + 0.5 * np.array([len(x) == 1 for x in pieces.pieces])
             p = (grown / grown.sum())[:, None]
         columns.append(p[:, 0])

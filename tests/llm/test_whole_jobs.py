@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import suffix_tree, toxicity
+from orrery.llm import language, suffix_tree, toxicity
 from orrery.llm._text import split_words
 
 
@@ -85,3 +85,32 @@ def test_toxic_word_behind_byte_24(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SIZE_AT_ONCE", 7)
     again = toxicity.Features(split_words(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
     assert (again.grams == features.grams).all() and again.vectors(p) == pytest.approx(whole, abs=1e-6)
+
+
+def test_every_piece_and_whole_words_in_segmentations():
+    pieces = language.Pieces(language.vocabulary())
+    assert max(len(p) for p in pieces.pieces) == language.LONGEST
+    known = {x: i for i, x in enumerate(pieces.pieces)}
+    rng = np.random.default_rng(6)
+    p = rng.random((len(pieces.pieces), 2))
+    p /= p.sum(axis=0)
+    texts = ["international", "x" * 40, "understanding" * 9, "日本語の文章を読む" * 5, "a" * 33, "=" * 200]
+    text = " ".join(texts).encode()
+    w = split_words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    got = language.word_scores(pieces, language._padded(p), w.data, w.start, w.end)
+    for i, x in enumerate(texts):
+        b = b" " + x.encode()
+        for k in (0, 1):
+            logs = [0.0]
+            for j in range(1, len(b) + 1):
+                logs.append(np.logaddexp.reduce([logs[m] + np.log(p[known[b[m:j]], k]) for m in range(max(0, j - language.LONGEST), j) if b[m:j] in known]))
+            assert got[i, k] == pytest.approx(logs[-1])
+
+
+def test_long_words_are_learned_whole():
+    tail = "qzvxj" * 20
+    model = language.fit([("a", ("o" * 32 + tail).encode()), ("b", ("o" * 32 + "mnwrt" * 20).encode())], language.vocabulary())
+    pieces = language.Pieces(model.path)
+    text = tail.encode()
+    got = language.word_scores(pieces, language._padded(model.table), np.frombuffer(text, np.uint8), np.array([0]), np.array([len(text)]))
+    assert got[0, 0] > got[0, 1] + 5
