@@ -80,7 +80,7 @@ NOTICES = (
     ("permission to use copy", "permission to use copy modify and or distribute this software for any purpose", "isc"),
     ("redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("you may not use this file", "you may not use this file except in compliance with the license", "apache"),
-    ("free software foundation", "redistribute it and or modify it under the terms of the gnu", "gpl"),
+    ("terms of the gnu", "redistribute it and or modify it under the terms of the gnu", "gpl"),
     ("all rights reserved", "(?:copyright )?(?:c )?(?:[0-9]{4} )?(?:[^ ]+ ){0,4}all rights reserved", "all-rights-reserved"),
     ("spdx license identifier", "spdx license identifier(?: [^ ]+){1,4}", "spdx"),
     ("public domain", "(?:released|dedicated|placed) (?:to|into|in) the public domain", "public-domain"),
@@ -110,13 +110,14 @@ def rules() -> list[Rule]:
     out = [Rule(k, p, label, 4) for k, p, label in NOTICES]
     for f in FAMILIES:
         for name in f.names:
+            keyword = f.keyword if f.keyword in name else name
             for version, suffix in f.versions:
-                out.append(Rule(f.keyword, f"{name} (?:license |licence )?(?:version |v )?{version}", f.label + suffix, 3))
-                out.append(Rule(f.keyword, f"{name} (?:license |licence )?v{version}", f.label + suffix, 3))
-                out.append(Rule(f.keyword, f"{name} (?:license |licence )?(?:version |v )?{version} or (?:any )?later", f"{f.label}{suffix}-or-later", 3))
-            out.append(Rule(f.keyword, f"{name} licen[cs]e", f.label, 2))
-            out.append(Rule(f.keyword, f"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?{name}", f.label, 2))
-            out.append(Rule(f.keyword, f"licen[cs]e {name}", f.label, 1))
+                out.append(Rule(keyword, f"{name} (?:license |licence )?(?:version |v )?{version}", f.label + suffix, 3))
+                out.append(Rule(keyword, f"{name} (?:license |licence )?v{version}", f.label + suffix, 3))
+                out.append(Rule(keyword, f"{name} (?:license |licence )?(?:version |v )?{version} or (?:any )?later", f"{f.label}{suffix}-or-later", 3))
+            out.append(Rule(keyword, f"{name} licen[cs]e", f.label, 2))
+            out.append(Rule(keyword, f"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?{name}", f.label, 2))
+            out.append(Rule(keyword, f"licen[cs]e {name}", f.label, 1))
     return out + [Rule(phrase, phrase, label, 2) for phrase, label in BASE.items()]
 
 

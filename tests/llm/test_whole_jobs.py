@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import language, suffix_tree, toxicity
+from orrery.llm import language, licenses, suffix_tree, toxicity
 from orrery.llm._text import split_words
 
 
@@ -114,3 +114,12 @@ def test_long_words_are_learned_whole():
     text = tail.encode()
     got = language.word_scores(pieces, language._padded(model.table), np.frombuffer(text, np.uint8), np.array([0]), np.array([len(text)]))
     assert got[0, 0] > got[0, 1] + 5
+
+
+def test_shortened_gpl_notice_is_found(spark):
+    text = "You can redistribute it and/or modify it under the terms of the GNU license."
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert "gpl" in licenses.scan(df).collect()[0]["labels"].split(",")
+    assert all(rule.keyword in rule.pattern for rule in licenses.rules())
+    df = spark.createDataFrame([(1, "X11 license"), (2, "licensed under expat"), (3, "ASF 2.0")], "doc_id long, text string")
+    assert all(r["labels"] for r in licenses.scan(df).collect())
