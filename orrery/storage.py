@@ -8,6 +8,7 @@ our own is made only where that setting is missing, as in local tests.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -22,13 +23,19 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder as a URI without a trailing slash."""
+    """The shared folder as a URI without a trailing slash.
+
+    Without ``spark.checkpoint.dir`` a folder of this machine is made only where
+    driver and executors are one process; elsewhere executors couldn't see it.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="orrery-")
-        root = _OWN[app]
+        context = spark.sparkContext
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="orrery-")
+        root = _OWN[context.applicationId]
     return root.rstrip("/")
 
 
@@ -40,11 +47,54 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there.
 
-    Unlike ``DataFrame.checkpoint`` the rows are computed once, not twice.
+    Unlike ``DataFrame.checkpoint`` the rows are computed once, not twice.  Tables
+    that nothing reads any more can be given to ``discard``; what is left goes when
+    the driver ends.
     """
-    path = new_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _sweep_at_exit(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    _LIVE[path] = spark.sparkContext.applicationId
+    out._orrery_path = path
+    return out
+
+
+_LIVE: dict[str, str] = {}
+_SWEPT: set[str] = set()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` (the frames that it returned) that no plan reads any more."""
+    for table in tables:
+        path = getattr(table, "_orrery_path", None)
+        if _LIVE.pop(path, None) is not None:
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _sweep_at_exit(spark: SparkSession) -> None:
+    """Once an application: delete what it has stored when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app in _SWEPT:
+        return
+    _SWEPT.add(app)
+
+    def sweep() -> None:
+        context = spark.sparkContext
+        if getattr(context, "_jsc", None) is None or context.applicationId != app:
+            return
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            for path in [p for p, a in _LIVE.items() if a == app]:
+                del _LIVE[path]
+                _delete(spark, path)
+
+    atexit.register(sweep)
 
 
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
