@@ -22,3 +22,9 @@ def join_even(rows: DataFrame, table: DataFrame, key: str, weight: str, total: i
     marks = heavy.select(F.col(key).alias("_heavy"))
     rest = rows.join(F.broadcast(marks), rows[key] == F.col("_heavy"), "left_anti")
     return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light.hint("shuffle_merge"), key))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_1, name_2, ... that isn't a column of ``df`` (upper and lower case count as equal)."""
+    have = {c.lower() for c in df.columns}
+    return next(x for x in (name, *(f"{name}_{i}" for i in range(1, len(have) + 2))) if x.lower() not in have)

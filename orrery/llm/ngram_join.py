@@ -4,12 +4,15 @@ A document's set holds its distinct word n-grams (of a shorter text: all its
 words as one).  Two documents link if their sets' Jaccard similarity reaches
 ``percent`` / 100.
 
-1. Frequencies: how often n-grams fall into 2**SKETCH_BITS hash buckets, over all
-   documents; a table of that fixed size is broadcast.  It only orders n-grams
-   (rare buckets first, ties by hash); any order gives the same links.
+1. Frequencies: sorted runs of n-gram hashes are merged by hash range, over all
+   documents, and leave the n-grams that several documents hold.  A bitmap of
+   these (at most 2**MOST_BITS bits, all of them pass) and how often they fall into
+   2**SKETCH_BITS hash buckets are broadcast.  They only order n-grams: those of one
+   document first, then rare buckets, ties by hash; any order gives the same links.
 2. Documents with equal sets form a class; one of each class goes on.
-3. Each class posts the rarest n-grams of its set, the prefix that any partner
-   must share.  Posts that stand alone are dropped.
+3. The prefix of a set are its rarest n-grams, of which any partner must share
+   one.  Each class posts those of its prefix that aren't its own alone; posts
+   that stand alone are dropped.
 4. Candidates are filtered by length, by the positions of the shared n-gram in
    both sets, and by a suffix filter (counts of the n-grams by hash range bound
    the overlap from above).
@@ -30,6 +33,7 @@ equal sets; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +42,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm._joins import join_even
+from orrery.llm._joins import join_even, unused
 from orrery.llm._text import U64, Words, blocks, body, mix, split_words
-from orrery.storage import in_arrow, stored
+from orrery.storage import discard, in_arrow, stored
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 RANGES = 128
 MOST_BITS = 27
 ROUNDS = 2
-SETS = "doc_id long, n_shingles long, key binary, prefix array<long>, spread binary"
+#: Hash ranges in which runs are merged, and the n-grams of a run.
+SPANS, RUN = 1 << 12, 3_000_000
+SETS = "doc_id long, n_shingles long, key binary, first int, prefix array<long>, spread binary"
 
 
 def shingles(words: Words, n: int) -> list[np.ndarray]:
@@ -75,49 +81,123 @@ def overlap_needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _count(n: int):
+def _runs(n: int):
+    """Runs: by hash range (the top 12 bits), the next 32 bits of the n-grams in order, twice if several documents hold them."""
+
+    def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, times = np.unique(np.concatenate(held) >> U64(20), return_counts=True)
+        keys = np.repeat(keys, np.minimum(times, 2))
+        spans, heads = np.unique((keys >> U64(32)).astype(np.int32), return_index=True)
+        raw, cuts = keys.astype("<u4").tobytes(), np.append(heads, len(keys)) * 4
+        values = pa.array([raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+        yield from pa.table([pa.array(spans), values], names=["span", "keys"]).to_batches(500)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        held, size = [], 0
         for _, data, bounds in blocks(batches):
-            sets = shingles(split_words(data, bounds), n)
-            total += np.bincount((np.concatenate(sets) >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        used = np.flatnonzero(total)
-        for i in range(0, len(used), 100_000):
-            yield pa.record_batch([pa.array(used[i : i + 100_000]), pa.array(total[used[i : i + 100_000]])], names=["bucket", "c"])
+            held += shingles(split_words(data, bounds), n)
+            size = sum(len(x) for x in held)
+            if size > RUN:
+                yield from packed(held)
+                held, size = [], 0
+        if size:
+            yield from packed(held)
 
     return run
 
 
-def frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """Occurrences by hash bucket, over all documents (a frame with ``body``)."""
-    table = docs.transform(in_arrow, _count(n), "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[table["bucket"].to_numpy()] = table["c"].to_numpy()
-    return out
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams (44 bits of the hash) that several documents of a range's runs hold, and how often the runs have them."""
+
+    def merged(span: int, raw: list[bytes]) -> Iterator[pa.RecordBatch]:
+        keys, c = np.unique(np.frombuffer(b"".join(raw), "<u4"), return_counts=True)
+        keys, c = keys[c > 1].astype(np.int64) | (span << 32), c[c > 1]
+        for i in range(0, len(keys), 100_000):
+            yield pa.record_batch([pa.array(keys[i : i + 100_000]), pa.array(c[i : i + 100_000])], names=["k", "c"])
+
+    at, held = None, []
+    for batch in batches:
+        for span, raw in zip(batch.column("span").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+            if span != at and held:
+                yield from merged(at, held)
+                held = []
+            at = span
+            held.append(raw)
+    if held:
+        yield from merged(at, held)
+
+
+@dataclass
+class Order:
+    """The order of n-grams: a bitmap of those that several documents hold, and counts by hash bucket."""
 
+    shared: np.ndarray
+    counts: np.ndarray
 
-def _sets(n: int, percent: int, rank: np.ndarray):
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """0 for n-grams of one document, more for more frequent ones."""
+        return np.where(self._passes(grams), self.counts[(grams >> U64(64 - SKETCH_BITS)).astype(np.int64)] + 1, 0)
+
+    def _passes(self, grams: np.ndarray) -> np.ndarray:
+        at = _slot(grams >> U64(20), len(self.shared).bit_length() + 5)
+        return (self.shared[at >> 6] >> (at & 63).astype(U64)) & U64(1) > 0
+
+
+def _marks(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column("k").to_numpy().astype(U64)
+            at = _slot(k, bits)
+            yield pa.record_batch([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(U64)).view(np.int64)), pa.array((k >> U64(44 - SKETCH_BITS)).astype(np.int64)), batch.column("c")], names=["word", "bit", "bucket", "c"])
+
+    return run
+
+
+def frequencies(docs: DataFrame, n: int) -> Order:
+    """The order of all documents' n-grams (a frame with ``body``)."""
+    runs = docs.transform(in_arrow, _runs(n), "span int, keys binary").repartition("span").sortWithinPartitions("span")
+    found = stored(runs.transform(in_arrow, _merge, "k long, c long"), "shared")
+    bits = min(MOST_BITS, max(12, int(np.ceil(np.log2(max(1, 8 * found.count()))))))
+    marks = found.transform(in_arrow, _marks(bits), "word long, bit long, bucket long, c long")
+    words = marks.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    shared = np.zeros(1 << (bits - 6), np.int64)
+    shared[words["word"].to_numpy()] = words["bit"].to_numpy()
+    del words
+    buckets = marks.groupBy("bucket").agg(F.least(F.sum("c"), F.lit(2**31 - 2)).cast("int").alias("c")).toArrow()
+    counts = np.zeros(1 << SKETCH_BITS, np.int32)
+    counts[buckets["bucket"].to_numpy()] = buckets["c"].to_numpy()
+    discard(found)
+    return Order(shared.view(U64), counts)
+
+
+def _sets(n: int, percent: int, rank: Order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in blocks(batches):
-            keys, prefixes, spreads, sizes = [], [], [], []
-            for s in shingles(split_words(data, bounds), n):
+            sets = shingles(split_words(data, bounds), n)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            orders = np.split(rank.of(np.concatenate(sets)), np.cumsum(sizes)[:-1])
+            keys, firsts, prefixes, spreads = [], [], [], []
+            for s, order in zip(sets, orders, strict=True):
                 size = len(s)
-                sizes.append(size)
                 if not size:
                     keys.append(None)
+                    firsts.append(0)
                     prefixes.append([])
                     spreads.append(None)
                     continue
                 keys.append(np.array([mix(s).sum(), mix(s ^ U64(0x5851F42D4C957F2D)).sum()], U64).tobytes())
                 length = size - -(-percent * size // 100) + 1
-                order = rank[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)]
-                near = np.argpartition(order, length - 1)[:length] if length < size else np.arange(size)
-                if length < size:  # all of the last frequency, so that ties go by hash
-                    near = np.flatnonzero(order <= order[near].max())
-                near = near[np.lexsort((s[near], order[near]))][:length]
-                prefixes.append(s[near].view(np.int64))
+                own = int((order == 0).sum())
+                near = np.flatnonzero(order)  # what only this document holds comes first and needs no post
+                left = max(0, length - own)
+                if left < len(near):
+                    last = np.partition(order[near], left - 1)[left - 1] if left else -1
+                    near = near[order[near] <= last]  # all of the last frequency, so that ties go by hash
+                firsts.append(own)
+                prefixes.append(s[near[np.lexsort((s[near], order[near]))][:left]].view(np.int64))
                 spreads.append(np.minimum(np.bincount((mix(s) >> U64(57)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes())
-            yield pa.record_batch([rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(spreads, pa.binary())], names=["doc_id", "n_shingles", "key", "prefix", "spread"])
+            columns = [rows.column("doc_id"), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(firsts, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(spreads, pa.binary())]
+            yield pa.record_batch(columns, names=["doc_id", "n_shingles", "key", "first", "prefix", "spread"])
 
     return run
 
@@ -202,9 +282,11 @@ def components(edges: DataFrame) -> DataFrame:
         # and on to the label's own label
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("beyond"))
         new = stored(moved.join(jump, "next", "left").select("node", F.least("next", F.coalesce("beyond", "next")).alias("label"), "was"), "labels")
-        labels = new.select("node", "label")
+        discard(labels)
+        labels = new
         if not new.where("label <> was").limit(1).count():
-            return labels
+            discard(both)
+            return labels.select("node", "label")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, spreads: DataFrame, n: int, percent: int) -> DataFrame:
@@ -234,22 +316,63 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def similarity_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id (smallest id reachable by links)."""
+@dataclass
+class Posted:
+    """What a join starts from."""
+
+    texts: DataFrame  # doc_id, body
+    sets: DataFrame  # a row a document
+    classes: DataFrame  # key, rep, members: documents with equal sets
+    spreads: DataFrame  # doc_id, n, spread of one document of each class
+    posts: DataFrame  # gram, doc_id, n, at
+
+
+def _posted(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> Posted:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col))
     rank = frequencies(texts, n)
     sets = stored(texts.transform(in_arrow, _sets(n, percent, rank), SETS), "sets")
-    total = sets.count()
     classes = stored(sets.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
-    one = sets.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("spread").alias("spread"))
-    one = stored(one, "representatives")
-    spreads = one.select("doc_id", "n", "spread")
-    posts = one.select("doc_id", "n", F.posexplode("prefix").alias("at", "gram"))
+    one = sets.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.first(F.struct("n_shingles", "first", "prefix", "spread")).alias("x"))
+    one = stored(one.select("doc_id", F.col("x.n_shingles").alias("n"), "x.first", "x.prefix", "x.spread"), "representatives")
+    posts = one.select("doc_id", "n", "first", F.posexplode("prefix").alias("at", "gram")).withColumn("at", F.col("at") + F.col("first"))
     shared = posts.groupBy("gram").agg(F.count("*").alias("df"), F.min("n").alias("least")).where("df > 1").select("gram", "least")
     # a post whose n-gram comes too late for even the smallest partner in its group is of no use
     partner = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100 - 1e-9))
     useful = F.col("n") - F.col("at") >= F.ceil(percent * (F.col("n") + partner) / (100 + percent) - 1e-9)
     posts = stored(posts.join(shared.hint("shuffle_merge"), "gram").where(useful).select("gram", "doc_id", "n", "at"), "posts")
+    return Posted(texts, sets, classes, one.select("doc_id", "n", "spread"), posts)
+
+
+def similarity_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The whole join: all links (a, b) between classes of equal sets, and the classes' members (doc_id, n_shingles, rep, members, n_links).
+
+    ``a`` and ``b`` are the smallest ids of their classes.  ``n_links`` counts a
+    document's links to other documents, those of its own class among them.
+    Every candidate pair is verified, so the work grows with the number of links:
+    m different near copies of one text have up to m (m - 1) / 2.  Where only the
+    groups are wanted, ``similarity_groups`` needs far fewer.
+    """
+    p = _posted(docs, n, percent, id_col, text_col)
+    member = F.struct("doc_id", "n", "at")
+    m, other = p.posts.select("gram", member.alias("m")), p.posts.select("gram", member.alias("l"))
+    pairs = m.join(other, "gram").where("m.doc_id < l.doc_id").where(_fitting("m", "l", percent))
+    pairs = stored(pairs.select(F.col("m.doc_id").alias("a"), F.col("l.doc_id").alias("b")).distinct(), "pairs")
+    links = stored(_verified(pairs, p.texts, p.spreads, n, percent), "links")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sizes = p.classes.where("rep is not null").select(F.col("rep").alias("b"), F.col("members").alias("size"))
+    others = both.join(sizes, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("others"))
+    final = p.classes.join(others, "rep", "left").select("key", "rep", "members", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    rows = p.sets.select("doc_id", "n_shingles", "key")
+    members = join_even(rows.where("n_shingles > 0"), final, "key", "members", p.sets.count())
+    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"), F.lit(1).cast("long").alias("members"), F.lit(0).cast("long").alias("n_links"))
+    return links, members.select(alone.columns).unionByName(alone)
+
+
+def similarity_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles and component_id (smallest id reachable by links)."""
+    p = _posted(docs, n, percent, id_col, text_col)
+    texts, sets, classes, spreads, posts = p.texts, p.sets, p.classes, p.spreads, p.posts
+    total = sets.count()
     labels, verified = None, None
     for turn in range(ROUNDS + 1):
         if labels is None:
@@ -294,6 +417,7 @@ def similarity_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: st
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the smallest id of each group, and all that are in none."""
+    kept_id = unused(docs, "kept_id")
     groups = similarity_groups(docs, n, percent, id_col, text_col)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept_id)).distinct()
+    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)), "left_semi")
