@@ -27,7 +27,14 @@ length); the others are joined by their hashes, as are words.  Bitmaps of at mos
 2**MOST_BITS bits keep most grams out of the shuffles that can't be in a table:
 all in it pass, and the counts and joins are exact.
 
-Words and grams are known by 64-bit hashes.  Defined cases: a null text is empty
+What is shuffled is packed: a task sorts the hashes of some ``RUN`` tokens and
+sends each hash range (span) its part as one binary row; there are as many spans
+as leave each some 2**SPAN tokens.  Grams are counted twice: first 32 bits of each, to
+find those that may occur ``LEAST`` times, then those alone with their contexts
+and suffixes.  The rows of ``docs`` must come in the same order if a task is run
+again, as those of a scan do.
+
+Words and grams are known by 64-bit hashes (48 bits and their span when scored).  Defined cases: a null text is empty
 and has its end only; repeated rows get equal scores and count as often as they
 occur in training; without training texts N = V = 0 and every token has
 probability 1/(0 + 1), base score 0; an empty table gives no rows; other columns
@@ -41,12 +48,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm._joins import join_even
 from orrery.llm._text import U64, HashIndex, Words, blocks, body, mix, split_words
-from orrery.storage import in_arrow, stored
+from orrery.storage import discard, in_arrow, release, stored
 
 DEPTH = 3
 #: A gram that is kept is seen this often at least.
@@ -56,8 +64,10 @@ SHARE = 2e-6
 DISCOUNT = 0.6
 #: The largest bitmap has 2 to this power bits.
 MOST_BITS = 27
-#: Distinct entries a task gathers before it passes them on.
-FLUSH = 1_500_000
+#: Entries a task gathers before it passes them on as a run.
+RUN = 3_000_000
+#: Log2 of the tokens of a hash range.
+SPAN = 17
 END = U64(0x0E2D0F7E87000001)
 _ODD = U64(0xD6E8FEB86659FD93)
 
@@ -95,62 +105,143 @@ def _passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[(keys >> shift).astype(np.int64)] >> (keys & U64(63))) & U64(1) > 0
 
 
-class _Counts:
-    """Sums by 64-bit key, with other columns that the key implies, passed on when there are many."""
+def _span_bits(n: int) -> int:
+    return min(24, max(6, (max(1, n) >> SPAN).bit_length()))
 
-    def __init__(self, names: str = "k") -> None:
-        self.names, self.rows, self.sums, self.size = list(names), [], [], 0
 
-    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, one, c = np.unique(columns[0], return_index=True, return_counts=True)
-        self.rows.append([x[one] for x in columns])
-        self.sums.append(c)
-        self.size += len(one)
-        if self.size > FLUSH:
-            rows, c = self.merged()
-            self.rows, self.sums, self.size = [rows], [c], len(c)
-            if self.size > FLUSH // 2:
-                yield from self.flush()
+def _cut(keys: np.ndarray, shift: int, data: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Spans of sorted keys (their bits above ``shift``), and the bytes of the rows of ``data`` in each."""
+    spans, heads = np.unique((keys >> U64(shift)).astype(np.int32), return_index=True)
+    raw, cuts = data.tobytes(), (np.append(heads, len(keys)) * data.dtype.itemsize).tolist()
+    return spans, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def merged(self) -> tuple[list[np.ndarray], np.ndarray]:
-        columns = [np.concatenate(x) for x in zip(*self.rows, strict=True)]
-        keys, one, back = np.unique(columns[0], return_index=True, return_inverse=True)
-        return [x[one] for x in columns], np.bincount(back, np.concatenate(self.sums), len(keys)).astype(np.int64)
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.rows:
-            rows, c = self.merged()
-            self.rows, self.sums, self.size = [], [], 0
-            for a in range(0, len(c), 100_000):
-                part = slice(a, a + 100_000)
-                yield pa.record_batch([*(pa.array(x[part].view(np.int64)) for x in rows), pa.array(c[part])], names=[*self.names, "c"])
+def _rows(spans: np.ndarray, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    yield from pa.table([pa.array(spans), pa.array(parts, pa.binary())], names=["span", "data"]).to_batches(500)
+
+
+PACKED = "span int, data binary"
+RECORD = np.dtype([("k", "<u8"), ("x", "<u8"), ("s", "<u8"), ("c", "<u4")])
+
+
+def _by_span(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    """The data of each span of rows that are sorted by it."""
+    at, held = None, []
+    for batch in batches:
+        for span, data in zip(batch.column("span").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            if span != at and held:
+                yield at, b"".join(held)
+                held = []
+            at = span
+            held.append(data)
+    if held:
+        yield at, b"".join(held)
+
+
+def _met(rows: DataFrame, *order: str) -> DataFrame:
+    return rows.repartition("span").sortWithinPartitions("span", *order)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = _Counts()
+    held, sums, size = [], [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        k = np.concatenate(held)
+        order = np.argsort(k, kind="stable")
+        k = k[order]
+        heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        yield from pa.table([pa.array(k[heads].view(np.int64)), pa.array(np.add.reduceat(np.concatenate(sums)[order], heads))], names=["k", "c"]).to_batches(100_000)
+
     for _, data, bounds in blocks(batches):
-        yield from counts.add(_symbols(split_words(data, bounds))[0])
-    yield from counts.flush()
+        k, c = np.unique(_symbols(split_words(data, bounds))[0], return_counts=True)
+        held.append(k)
+        sums.append(c)
+        size += len(k)
+        if size > RUN:
+            yield from flush()
+            held, sums, size = [], [], 0
+    if held:
+        yield from flush()
+
+
+def _candidates(size: int, kept: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Grams of ``size`` words, their first and their last ``size`` - 1 words, where both of these pass the bitmap."""
+    for _, data, bounds in blocks(batches):
+        grams, ptr = _symbols(split_words(data, bounds))
+        for _ in range(size - 2):
+            grams = _longer(grams)
+        good = _passes(kept, grams)
+        at = np.flatnonzero((_places(ptr) >= size - 1) & good & np.concatenate([[False], good[:-1]]))
+        if len(at):
+            yield _longer(grams)[at], grams[at - 1], grams[at]
+
 
+def _sift(size: int, kept: np.ndarray, bits: int):
+    """By span, the next 32 bits of every candidate, up to ``LEAST`` times."""
 
-def _count_grams(size: int, kept: np.ndarray):
-    """Counts of grams of ``size`` words (k) whose first (x) and last (s) ``size`` - 1 words pass the bitmap."""
+    def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, times = np.unique(np.concatenate(held) >> U64(32 - bits), return_counts=True)
+        keys = np.repeat(keys, np.minimum(times, LEAST))
+        yield from _rows(*_cut(keys, 32, keys.astype("<u4")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counts("kxs")
-        for _, data, bounds in blocks(batches):
-            grams, ptr = _symbols(split_words(data, bounds))
-            for _ in range(size - 2):
-                grams = _longer(grams)
-            good = _passes(kept, grams)
-            at = np.flatnonzero((_places(ptr) >= size - 1) & good & np.concatenate([[False], good[:-1]]))
-            if len(at):
-                yield from counts.add(_longer(grams)[at], grams[at - 1], grams[at])
-        yield from counts.flush()
+        held, n = [], 0
+        for k, _, _ in _candidates(size, kept, batches):
+            held.append(k)
+            n += len(k)
+            if n > RUN:
+                yield from packed(held)
+                held, n = [], 0
+        if held:
+            yield from packed(held)
 
     return run
 
 
+def _sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mixed keys of what the runs hold ``LEAST`` times."""
+    for span, data in _by_span(batches):
+        keys, c = np.unique(np.frombuffer(data, "<u4"), return_counts=True)
+        keys = mix(keys[c >= LEAST].astype(U64) | (U64(span) << U64(32))).view(np.int64)
+        yield from pa.table([pa.array(keys)], names=["k"]).to_batches(100_000)
+
+
+def _record(size: int, kept: np.ndarray, often: np.ndarray, bits: int):
+    """By span, the candidates that may occur ``LEAST`` times, with their contexts, suffixes and counts."""
+
+    def packed(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        k, x, s = (np.concatenate(c) for c in zip(*held, strict=True))
+        k, one, c = np.unique(k, return_index=True, return_counts=True)
+        data = np.empty(len(k), RECORD)
+        data["k"], data["x"], data["s"], data["c"] = k, x[one], s[one], c
+        yield from _rows(*_cut(k, 64 - bits, data))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for found in _candidates(size, kept, batches):
+            hit = _passes(often, mix(found[0] >> U64(32 - bits)))
+            held.append(tuple(c[hit] for c in found))
+            n += int(hit.sum())
+            if n > RUN:
+                yield from packed(held)
+                held, n = [], 0
+        if n:
+            yield from packed(held)
+
+    return run
+
+
+def _recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k, x, s and c of every gram that occurs ``LEAST`` times."""
+    for _, data in _by_span(batches):
+        rows = np.frombuffer(data, RECORD)
+        k, one, back = np.unique(rows["k"], return_index=True, return_inverse=True)
+        c = np.bincount(back, rows["c"]).astype(np.int64)
+        kept = c >= LEAST
+        columns = [k[kept].view(np.int64), *(rows[name][one[kept]].view(np.int64) for name in "xs"), c[kept]]
+        yield from pa.table([pa.array(np.ascontiguousarray(x)) for x in columns], names=list("kxsc")).to_batches(100_000)
+
+
 def _summed(df: DataFrame) -> DataFrame:
     return df.groupBy("k").agg(F.sum("c").alias("c"))
 
@@ -182,22 +273,28 @@ def grow(train: DataFrame, depth: int = DEPTH) -> Model:
     n, v = int(total["n"] or 0), int(total["v"])
     model = Model(n, v, counts, [], [])
     kept = counts.where(F.col("c") >= LEAST).select("k", "c", F.lit(0).cast("long").alias("s"), F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("lp"))
+    bits = _span_bits(n)
     for size in range(2, depth + 2):
         if kept.isEmpty():
             break
-        rows = train.transform(in_arrow, _count_grams(size, _bitmap(kept.select("k"))), "k long, x long, s long, c long")
-        rows = rows.groupBy("k").agg(F.sum("c").alias("c"), F.first("x").alias("x"), F.first("s").alias("s"))
-        rows = stored(rows.where(F.col("c") >= LEAST), f"grams-{size}")
+        below = _bitmap(kept.select("k"))
+        often = stored(_met(train.transform(in_arrow, _sift(size, below, bits), PACKED)).transform(in_arrow, _sifted, "k long"), f"often-{size}")
+        rows = _met(train.transform(in_arrow, _record(size, below, _bitmap(often), bits), PACKED)).transform(in_arrow, _recorded, "k long, x long, s long, c long")
+        counted = stored(rows, f"grams-{size}")
+        discard(often)
         # a kept gram occurs LEAST times, so its suffix and its context are kept, and have no more grams than occurrences
         suffixes = kept.select(F.col("k").alias("s"), F.col("lp").alias("under"), F.col("c").alias("_of_suffix"))
-        rows = stored(join_even(rows, suffixes, "s", "_of_suffix", n).select("k", "x", "s", "c", "under"), f"suffixes-{size}")
+        rows = stored(join_even(counted, suffixes, "s", "_of_suffix", n).select("k", "x", "s", "c", "under"), f"suffixes-{size}")
+        discard(counted)
         states = stored(_states(rows, kept, n), f"states-{size}")
         joined = join_even(rows, states.select("x", "spare", "whole", "retained"), "x", "whole", n)
         lp = F.when(F.col("retained"), F.log10((F.col("c") - DISCOUNT) / F.col("whole"))).otherwise(F.col("under"))
         gain = F.when(F.col("retained"), F.col("lp") - F.col("under") - F.col("spare")).otherwise(F.lit(0.0))
         kept = stored(joined.withColumn("lp", lp).select("k", "x", "s", "c", "lp", gain.alias("gain")), f"kept-{size}")
+        discard(rows)
         model.grams.append(kept)
         model.states.append(states.where("retained").select(F.col("x").alias("k"), F.col("whole").alias("c"), "s", "spare"))
+        release(train.sparkSession)
     return model
 
 
@@ -281,81 +378,204 @@ def _collected(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
     return k[order], x[order]
 
 
-ROWS = "row long, doc_id long, k long, kind int, times long, n_tokens long, n_known long, base double, gain double"
-TEXT, WORD, GRAM = 0, 1, 2
+#: Kinds of packed rows: entries of the table of gains, what texts look up, and the texts themselves.
+ENTRIES, LOOKUPS, TEXTS = 0, 1, 2
+KINDS = "span int, kind int, chunk long, data binary"
+ENTRY = np.dtype([("k", "<u8"), ("base", "<f8"), ("gain", "<f8"), ("known", "<u4")])
+LOOKUP = np.dtype([("low", "<u4"), ("high", "<u2"), ("row", "<u2")])
+TEXT = np.dtype([("row", "<u2"), ("null", "u1"), ("doc_id", "<i8"), ("n_tokens", "<i8"), ("n_known", "<i8"), ("base", "<f8"), ("gain", "<f8")])
+PARTIAL = np.dtype([("row", "<u2"), ("known", "<u4"), ("base", "<f8"), ("gain", "<f8")])
+#: A chunk has less texts than a row number can tell apart.
+CHUNK_TEXTS = 60_000
+
+
+def _kinds(span: np.ndarray, kind: int, chunk: int, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+    n = len(data)
+    columns = [pa.array(span, pa.int32()), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, chunk, np.int64)), pa.array(data, pa.binary())]
+    yield from pa.table(columns, names=["span", "kind", "chunk", "data"]).to_batches(500)
+
+
+def _entries(bits: int):
+    """The table of gains by span."""
+
+    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        k = table["k"].to_numpy().astype(np.int64).view(U64)
+        order = np.argsort(k, kind="stable")
+        data = np.empty(len(k), ENTRY)
+        data["k"] = k[order]
+        for name in ("base", "gain", "known"):
+            data[name] = table[name].to_numpy()[order]
+        spans, parts = _cut(data["k"], 64 - bits, data)
+        yield from _kinds(spans, ENTRIES, 0, parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n > RUN:
+                yield from packed(held)
+                held, n = [], 0
+        if n:
+            yield from packed(held)
+
+    return run
+
 
+def _look(words: np.ndarray, root: np.ndarray, grams: np.ndarray, gains: np.ndarray, others: np.ndarray, sizes: int, missing: float, bits: int):
+    """What the broadcast tables know of each text, and what it looks up in the table of gains.
 
-def _score(words: np.ndarray, root: np.ndarray, grams: np.ndarray, gains: np.ndarray, others: np.ndarray | None, sizes: int):
-    """A row a text with what the broadcast tables know, a row for every other word, and one for every other gram of a text that may have a gain."""
+    A word that isn't broadcast has the base score of an unseen one; the table adds what it lacks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find_word, find_gram = HashIndex(words), HashIndex(grams)
+        chunk = TaskContext.get().partitionId() << 32
+        texts, keys, owners, n_texts, n_keys = [], [], [], 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            yield from _kinds(np.array([chunk % (1 << bits)]), TEXTS, chunk, [np.concatenate(texts).tobytes()])
+            k, row = np.concatenate(keys), np.concatenate(owners)
+            order = np.argsort(k, kind="stable")
+            k = k[order]
+            data = np.empty(len(k), LOOKUP)
+            bare = k << U64(bits)
+            data["high"], data["low"], data["row"] = bare >> U64(48), (bare >> U64(16)) & U64(0xFFFFFFFF), row[order]
+            if len(k):
+                spans, parts = _cut(k, 64 - bits, data)
+                yield from _kinds(spans, LOOKUPS, chunk, parts)
+
         for rows, data, bounds in blocks(batches):
-            symbols, ptr = _symbols(split_words(data, bounds))
-            ids = find_word.find(symbols)
-            n = rows.num_rows
-            text, place = np.repeat(np.arange(n), np.diff(ptr)), _places(ptr)
-            known = ids >= 0
-            base = np.bincount(text[known], root[ids[known]], n)
-            gain, rare = np.zeros(n), np.flatnonzero(~known)
-            owners, keys, times = [text[rare]], [symbols[rare]], [np.ones(len(rare), np.int64)]
-            each = symbols
-            for size in range(1, sizes + 1):
-                each = _longer(each) if size > 1 else each
-                at = np.flatnonzero(place >= size - 1)
-                found = find_gram.find(each[at])
-                hit = found >= 0
-                gain += np.bincount(text[at[hit]], gains[found[hit]], n) if hit.any() else 0
-                at = at[~hit]
-                at = at[_passes(others, each[at])] if others is not None else at[:0]
-                if len(at):
-                    order = np.lexsort((each[at], text[at]))
-                    at = at[order]
-                    head = np.flatnonzero(np.concatenate([[True], (np.diff(text[at]) != 0) | (each[at][1:] != each[at][:-1])]))
-                    owners.append(text[at[head]])
-                    keys.append(each[at[head]])
-                    times.append(np.diff(np.append(head, len(at))))
-            owner, more = np.concatenate(owners), sum(len(x) for x in owners)
-            number, doc = rows.column("row").to_numpy(), rows.column("doc_id")
-            zeros = np.zeros(more)
-            whole = zeros.astype(np.int64)
-            kind = np.full(n + more, GRAM, np.int32)
-            kind[:n], kind[n : n + len(rare)] = TEXT, WORD
-            yield pa.record_batch(
-                [
-                    pa.array(np.concatenate([number, number[owner]])), pa.concat_arrays([doc, doc.take(pa.array(owner))]),
-                    pa.array(np.concatenate([mix(number.astype(U64)), *keys]).view(np.int64)), pa.array(kind), pa.array(np.concatenate([np.zeros(n, np.int64), *times])),
-                    pa.array(np.concatenate([np.diff(ptr), whole])), pa.array(np.concatenate([np.bincount(text[known], minlength=n), whole])),
-                    pa.array(np.concatenate([base, zeros])), pa.array(np.concatenate([gain, zeros])),
-                ],
-                names=["row", "doc_id", "k", "kind", "times", "n_tokens", "n_known", "base", "gain"],
-            )
+            for at in range(0, rows.num_rows, CHUNK_TEXTS):
+                part = rows.slice(at, CHUNK_TEXTS)
+                n = part.num_rows
+                if texts and (n_keys > RUN or n_texts + n > CHUNK_TEXTS):
+                    yield from flush()
+                    chunk += 1
+                    texts, keys, owners, n_texts, n_keys = [], [], [], 0, 0
+                ends = bounds[at : at + n + 1]
+                symbols, ptr = _symbols(split_words(data[ends[0] : ends[-1]], ends - ends[0]))
+                ids = find_word.find(symbols)
+                text, place = np.repeat(np.arange(n), np.diff(ptr)), _places(ptr)
+                known = ids >= 0
+                base, gain = np.bincount(text[known], root[ids[known]], n) + missing * np.bincount(text[~known], minlength=n), np.zeros(n)
+                each = symbols
+                for size in range(1, sizes + 1):
+                    each = _longer(each) if size > 1 else each
+                    here = place >= size - 1
+                    found = find_gram.find(each)
+                    hit = here & (found >= 0)
+                    gain += np.bincount(text[hit], gains[found[hit]], n) if hit.any() else 0
+                    here &= ~hit
+                    if size == 1:  # its entry holds what is known of it as a word and as a context
+                        here |= ~known
+                    may = here & _passes(others, each)
+                    keys.append(each[may])
+                    owners.append(text[may] + n_texts)
+                    n_keys += int(may.sum())
+                out, ids = np.zeros(n, TEXT), part.column("doc_id")
+                out["row"], out["null"], out["doc_id"] = np.arange(n) + n_texts, np.asarray(ids.is_null()), np.asarray(ids.fill_null(0))
+                out["n_tokens"], out["n_known"], out["base"], out["gain"] = np.diff(ptr), np.bincount(text[known], minlength=n), base, gain
+                texts.append(out)
+                n_texts += n
+        if texts:
+            yield from flush()
+
+    return run
+
+
+def _answer(bits: int):
+    """Sums by text of the entries that it looks up; texts pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span, held, bare, entries = None, [], None, None
+        sums: dict[int, np.ndarray] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for chunk, table in sums.items():
+                row = np.flatnonzero(table.any(axis=0))
+                if len(row):
+                    data = np.empty(len(row), PARTIAL)
+                    data["row"], data["known"], data["base"], data["gain"] = row, table[0, row], table[1, row], table[2, row]
+                    yield from _kinds(np.zeros(1, np.int32), LOOKUPS, chunk, [data.tobytes()])
+
+        for batch in batches:
+            for at, kind, chunk, data in zip(*(batch.column(c).to_pylist() for c in ("span", "kind", "chunk", "data")), strict=True):
+                if at != span:
+                    span, held, entries = at, [], None
+                if kind == ENTRIES:
+                    held.append(data)
+                elif kind == TEXTS:
+                    yield from _kinds(np.zeros(1, np.int32), TEXTS, chunk, [data])
+                elif held:
+                    if entries is None:
+                        entries = np.sort(np.frombuffer(b"".join(held), ENTRY), order="k")
+                        bare = (entries["k"] << U64(bits)) >> U64(16)
+                    asked = np.frombuffer(data, LOOKUP)
+                    k = (asked["high"].astype(U64) << U64(32)) | asked["low"].astype(U64)
+                    i = np.minimum(np.searchsorted(bare, k), len(bare) - 1)
+                    hit = bare[i] == k
+                    i, row = i[hit], asked["row"][hit].astype(np.int64)
+                    if not len(i):
+                        continue
+                    n, old = int(row.max()) + 1, sums.get(chunk)
+                    if old is None or old.shape[1] < n:
+                        grown = np.zeros((3, n))
+                        if old is not None:
+                            grown[:, : old.shape[1]] = old
+                        size += n - (0 if old is None else old.shape[1])
+                        sums[chunk] = old = grown
+                    for j, name in enumerate(("known", "base", "gain")):
+                        old[j, :n] += np.bincount(row, entries[name][i], n)
+                    if size > RUN:
+                        yield from flush()
+                        sums, size = {}, 0
+        yield from flush()
 
     return run
 
 
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each chunk's texts, from rows sorted by chunk and kind (partial sums before the texts)."""
+    chunk, known, base, gain = None, *np.zeros((3, 1))
+    for batch in batches:
+        for at, kind, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "data")), strict=True):
+            if at != chunk:
+                chunk, (known, base, gain) = at, np.zeros((3, CHUNK_TEXTS))
+            if kind == LOOKUPS:
+                part = np.frombuffer(data, PARTIAL)
+                known[part["row"]] += part["known"]
+                base[part["row"]] += part["base"]
+                gain[part["row"]] += part["gain"]
+            else:
+                texts = np.frombuffer(data, TEXT)
+                row = texts["row"]
+                columns = [pa.array(np.ascontiguousarray(texts["doc_id"]), mask=texts["null"] > 0), np.ascontiguousarray(texts["n_tokens"]), texts["n_known"] + known[row].astype(np.int64), texts["base"] + base[row], texts["gain"] + gain[row]]
+                yield from pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["doc_id", "n_tokens", "n_known", "base_score", "gain"]).to_batches(10_000)
+
+
 def score(docs: DataFrame, in_training: Column, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score; learned from the rows where ``in_training``."""
     model = grow(docs.where(in_training).select(body(text_col)), depth)
     n, v = model.n, model.v
-    many = max(LEAST, SHARE * n)
+    many, missing, bits = max(LEAST, SHARE * n), float(-np.log10(n + v + 1)), _span_bits(n)
     words, c = _collected(model.counts.where(F.col("c") >= many), "c")
-    root = np.log10((c + 1) / (n + v + 1))
-    table = model.counts.where(F.col("c") < many).select("k", "c", F.lit(None).cast("double").alias("v"))
-    grams, gains, others = np.zeros(0, U64), np.zeros(0), None
+    root = np.log10(c + 1) + missing
+    zero = F.lit(0.0)
+    table = model.counts.where(F.col("c") < many).select("k", F.log10(F.col("c") + 1.0).alias("base"), zero.alias("gain"), F.lit(1).alias("known"))
+    grams, gains = np.zeros(0, U64), np.zeros(0)
     every = model.gains()
     if every is not None:
         every = stored(every, "gains")
         grams, gains = _collected(every.where(F.col("c") >= many), "v")
-        rest = every.where(F.col("c") < many).select("k", F.lit(None).cast("long").alias("c"), "v")
-        others = _bitmap(rest.select("k"))
-        table = table.unionByName(rest).groupBy("k").agg(F.max("c").alias("c"), F.sum("v").alias("v"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), body(text_col))
-    rows = rows.transform(in_arrow, _score(words, root, grams, gains, others, len(model.grams) + 1), ROWS).join(table.hint("shuffle_merge"), "k", "left")
-    word = F.col("kind") == WORD
-    rare = F.when(word, F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))).otherwise(F.lit(0.0))
-    gain = F.when(F.col("kind") == GRAM, F.col("times") * F.coalesce("v", F.lit(0.0))).otherwise(F.lit(0.0))
-    out = rows.groupBy("row", "doc_id").agg(
-        F.sum("n_tokens").alias("n_tokens"), (F.sum("n_known") + F.sum(F.when(word & F.col("c").isNotNull(), 1).otherwise(0))).alias("n_known"), F.sum(F.col("base") + rare).alias("base_score"), F.sum(F.col("gain") + gain).alias("gain")
-    )
+        rest = every.where(F.col("c") < many).select("k", zero.alias("base"), F.col("v").alias("gain"), F.lit(0).alias("known"))
+        table = stored(table.unionByName(rest).groupBy("k").agg(F.sum("base").alias("base"), F.sum("gain").alias("gain"), F.sum("known").cast("int").alias("known")), "entries")
+        discard(every, *model.grams)
+    others = _bitmap(table.select("k"))
+    release(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col)).transform(in_arrow, _look(words, root, grams, gains, others, len(model.grams) + 1, missing, bits), KINDS)
+    asked = _met(table.transform(in_arrow, _entries(bits), KINDS).unionByName(rows), "kind").transform(in_arrow, _answer(bits), KINDS)
+    out = asked.repartition("chunk").sortWithinPartitions("chunk", "kind").transform(in_arrow, _total, "doc_id long, n_tokens long, n_known long, base_score double, gain double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
