@@ -4,6 +4,11 @@ A write is a full-outer join of the stored rows and the new ones on identity
 columns, compared null-safely.  Policies for values on both sides: ``ignore``
 keeps the stored one, ``overwrite`` takes the new one, ``track`` keeps the stored
 one and reports the rejected values.  Missing values never replace known ones.
+
+Several source rows of one identity count as written one after the other, in a
+stated order: the first known value of a property stays (``ignore``, ``track``), or
+the last one does (``overwrite``), so a row's values stay together unless one is
+missing.
 """
 
 from __future__ import annotations
@@ -26,37 +31,63 @@ def different(a: Column, b: Column) -> Column:
     return ~a.eqNullSafe(b)
 
 
+def _missing(df: DataFrame, identity: list[str]) -> Column:
+    """Whether a value of the identity is null or NaN."""
+    kinds = dict(df.dtypes)
+    return reduce(lambda a, b: a | b, [F.isnull(c) | (F.isnan(c) if kinds[c] in ("double", "float") else F.lit(False)) for c in identity])
+
+
 def check_keys(df: DataFrame, identity: list[str], properties: list[str] | None = None) -> None:
     """Identity and properties may not overlap; an identity value may be neither missing nor NaN."""
     if overlap := set(identity) & set(properties or []):
         raise PropertyOverlapError(f"{sorted(overlap)} are identity and properties")
-    kinds = dict(df.dtypes)
-    bad = reduce(lambda a, b: a | b, [F.isnull(c) | (F.isnan(c) if kinds[c] in ("double", "float") else F.lit(False)) for c in identity])
-    if df.where(bad).limit(1).count():
+    if df.where(_missing(df, identity)).limit(1).count():
         raise NullPropertyError(f"an identity of {identity} has a missing value")
 
 
-def upsert(target: DataFrame, source: DataFrame, identity: list[str], policy: str = "ignore", now: int | None = None, stamps: bool = True) -> tuple[DataFrame, DataFrame]:
+def _place(df: DataFrame, columns: list[str]) -> Column:
+    """The columns as one value that can be ordered (maps by their text)."""
+    kinds = dict(df.dtypes)
+    return F.struct(*[F.to_json(c).alias(c) if "map<" in kinds[c] else F.col(c) for c in columns])
+
+
+def folded(source: DataFrame, identity: list[str], policy: str, order: list[str] | None = None) -> DataFrame:
+    """One row an identity: each property's first known value in ``order`` (the last one under ``overwrite``)."""
+    props = [c for c in source.columns if c not in identity]
+    if not props:
+        return source.select(*identity).distinct()
+    place, pick = _place(source, [*(order or []), *[c for c in props if c not in (order or [])]]), F.max_by if policy == "overwrite" else F.min_by
+    return source.groupBy(*identity).agg(*[pick(F.col(c), F.when(F.col(c).isNotNull(), place)).alias(c) for c in props]).select(*source.columns)
+
+
+def upsert(target: DataFrame, source: DataFrame, identity: list[str], policy: str = "ignore", now: int | None = None, stamps: bool = True, order: list[str] | None = None, missing: str = "raise") -> tuple[DataFrame, DataFrame]:
     """The merged rows, and the rejected values (identity, column, old, new, at) under ``track``.
 
-    Several source rows of one identity are merged first, in the order of their
-    values, so that a write doesn't depend on the order of rows.
+    Source rows of one identity are written in the order of the columns ``order``,
+    then of all properties, so that a write doesn't depend on the order of rows.  A
+    source row whose identity has a missing value is an error, or left out with
+    ``missing="drop"``.
     """
     if policy not in POLICIES:
         raise CollisionError(f"{policy} isn't one of {', '.join(POLICIES)}")
+    if missing == "drop":
+        source = source.where(~_missing(source, identity))
+    else:
+        check_keys(source, identity)
     now = int(time.time() * 1000) if now is None else now
     props = [c for c in dict.fromkeys([*target.columns, *source.columns]) if c not in (*identity, CREATED, UPDATED)]
     fresh = [c for c in props if c in source.columns]
-    folded = source.groupBy(*identity).agg(*[(F.max(c) if policy == "overwrite" else F.min(c)).alias(c) for c in fresh])
+    rows = source.select(*identity, *fresh)
+    one = folded(rows, identity, policy, [c for c in order or [] if c in fresh])
     t = target.select(*[F.col(c).alias(f"t_{c}") for c in target.columns], F.lit(True).alias("t_here"))
-    s = folded.select(*[F.col(c).alias(f"s_{c}") for c in folded.columns], F.lit(True).alias("s_here"))
+    s = one.select(*[F.col(c).alias(f"s_{c}") for c in one.columns], F.lit(True).alias("s_here"))
     both = t.join(s, [t[f"t_{c}"].eqNullSafe(s[f"s_{c}"]) for c in identity], "full")
 
     def side(prefix: str, c: str, frame: DataFrame) -> Column:
         return F.col(f"{prefix}_{c}") if c in frame.columns else F.lit(None)
 
     def value(c: str) -> Column:
-        old, new = side("t", c, target), side("s", c, folded)
+        old, new = side("t", c, target), side("s", c, one)
         return F.coalesce(new, old) if policy == "overwrite" else F.coalesce(old, new)
 
     out = [F.when(F.col("t_here"), F.col(f"t_{c}")).otherwise(F.col(f"s_{c}")).alias(c) for c in identity] + [value(c).alias(c) for c in props]
@@ -65,40 +96,82 @@ def upsert(target: DataFrame, source: DataFrame, identity: list[str], policy: st
         created = F.coalesce(side("t", CREATED, target).cast("long"), stamp) if CREATED in target.columns else stamp
         updated = F.when(F.col("s_here"), stamp).otherwise(side("t", UPDATED, target).cast("long"))
         out += [created.alias(CREATED), updated.alias(UPDATED)]
-    clashes = [
-        F.when(F.col("t_here") & F.col("s_here") & different(F.col(f"t_{c}"), F.col(f"s_{c}")), F.struct(F.lit(c).alias("column"), F.col(f"t_{c}").cast("string").alias("old"), F.col(f"s_{c}").cast("string").alias("new")))
-        for c in fresh
-        if c in target.columns
-    ]
-    rejected = both.select(*[F.col(f"s_{c}").alias(c) for c in identity], F.explode(F.array_compact(F.array(*clashes))).alias("x")) if clashes and policy == "track" else None
-    if rejected is None:
-        rejected = folded.limit(0).select(*identity, F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new"))
-    else:
-        rejected = rejected.select(*identity, "x.*")
-    return both.select(*out), rejected.withColumn("at", F.lit(now).cast("long"))
+    return both.select(*out), _rejected(both, rows, identity, fresh, target, policy).withColumn("at", F.lit(now).cast("long"))
+
+
+def _rejected(both: DataFrame, rows: DataFrame, identity: list[str], fresh: list[str], target: DataFrame, policy: str) -> DataFrame:
+    """Every distinct source value that isn't the one that stays: the stored one, or of a new identity the first."""
+    none = [F.lit(None).cast("string").alias(c) for c in ("column", "old", "new")]
+    if policy != "track" or not fresh:
+        return rows.limit(0).select(*identity, *none)
+    stays = [F.when(F.col("t_here"), F.col(f"t_{c}") if c in target.columns else F.col(f"s_{c}")).otherwise(F.col(f"s_{c}")).alias(f"o_{c}") for c in fresh]
+    old = both.where("s_here").select(*[F.col(f"s_{c}").alias(f"o_{c}") for c in identity], *stays)
+    new = rows.distinct() if not any("map<" in kind for _, kind in rows.dtypes) else rows
+    held = new.join(old, [new[c].eqNullSafe(old[f"o_{c}"]) for c in identity])
+    clashes = [F.when(different(F.col(f"o_{c}"), F.col(c)), F.struct(F.lit(c).alias("column"), F.col(f"o_{c}").cast("string").alias("old"), F.col(c).cast("string").alias("new"))) for c in fresh]
+    return held.select(*identity, F.explode(F.array_compact(F.array(*clashes))).alias("x")).select(*identity, "x.*").distinct()
 
 
 def upsert_edges(target: DataFrame, source: DataFrame, identity: list[str] | None = None, policy: str = "ignore", now: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Edges (src, dst and properties); those without one of their ends are left out."""
-    return upsert(target, source.where(F.col("src").isNotNull() & F.col("dst").isNotNull()), ["src", "dst", *(identity or [])], policy, now)
+    return upsert(target, source, ["src", "dst", *(identity or [])], policy, now, missing="drop")
+
+
+def ordered_edges(df: DataFrame, src: str, dsts: str, order: str = "ord") -> DataFrame:
+    """Edges from an object to each of a list of others, with their place in the list; missing ones leave a gap."""
+    return df.select(F.col(src).alias("src"), F.posexplode(dsts).alias(order, "dst")).where("dst is not null").select("src", "dst", order)
+
+
+def attach(edges: DataFrame, objects: DataFrame, src: str, dst: str, properties: list[str] = (), mirrored: bool = False, policy: str = "ignore", now: int | None = None) -> DataFrame:
+    """Edges with those of optional relations (or products) of ``objects`` added; ``mirrored`` ones lead back as well."""
+    found = objects.select(F.col(src).alias("src"), F.col(dst).alias("dst"), *properties)
+    if mirrored:
+        found = found.unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *properties))
+    return upsert_edges(edges, found, policy=policy, now=now)[0]
+
 
+Parents = list[str] | tuple[str, ...] | dict[str, list[str]]
 
-def relational_key(columns: list[str], parents: list[str] = (), optional: list[str] = ()) -> Column:
-    """Identity of an object that depends on others: its own columns, its parents in any order, and which optional ones are absent.
 
-    A digest of the whole struct with nulls spelt out, so (null, 2) and (2, null) differ.
+def relational_key(columns: list[str], parents: Parents = (), optional: list[str] = ()) -> Column:
+    """Identity of an object that depends on others, as a struct: its own columns, its parents by kind, and its optional ones (null where absent).
+
+    ``parents`` names columns, each a kind of its own, or gives the columns of each
+    kind: within a kind the order doesn't count.
     """
-    parts = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.array_sort(F.array(*[F.col(p).cast("string") for p in parents])).alias("parents"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(optional)])
-    return F.sha2(F.to_json(parts, {"ignoreNullFields": "false"}), 256)
+    kinds = parents if isinstance(parents, dict) else {p: [p] for p in parents}
+    held = [F.array_sort(F.array(*[F.col(c) for c in cs])).alias(f"parents_{k}") for k, cs in kinds.items()]
+    return F.struct(*[F.col(c).alias(f"own_{c}") for c in columns], *held, *[F.col(o).alias(f"optional_{o}") for o in optional])
 
 
-def merge_dependent(target: DataFrame, source: DataFrame, columns: list[str], parents: list[str] = (), optional: list[str] = (), policy: str = "ignore", now: int | None = None) -> tuple[DataFrame, DataFrame]:
+def merge_dependent(target: DataFrame, source: DataFrame, columns: list[str], parents: Parents = (), optional: list[str] = (), policy: str = "ignore", now: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Upsert of objects whose identity includes their relations; ``track`` isn't offered for them."""
     if policy == "track":
         raise NotImplementedError("collisions of dependent objects aren't tracked")
     key = relational_key(columns, parents, optional)
-    have = target if "_key" in target.columns else target.withColumn("_key", key)
-    return upsert(have, source.withColumn("_key", key), ["_key"], policy, now)
+    have = target.drop("_key").withColumn("_key", key)
+    merged, rejected = upsert(have, source.drop("_key").withColumn("_key", key), ["_key"], policy, now)
+    return merged.drop("_key"), rejected
+
+
+def merge_object(target: DataFrame, edges: DataFrame, source: DataFrame, columns: list[str], parents: Parents = (), optional: list[str] = (), strategy: str = "relations", policy: str = "ignore", now: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Objects and their edges from parents (src: the parent, dst: the object's own columns, kind) by one of two strategies.
+
+    ``node``: the object is known by its own columns, and a new parent is one more
+    edge.  ``relations``: its parents belong to its identity.
+    """
+    if strategy == "node":
+        names = [c for cs in (parents.values() if isinstance(parents, dict) else [parents]) for c in cs]
+        merged, _ = upsert(target, source.drop(*names, *optional), columns, policy, now)
+    else:
+        merged, _ = merge_dependent(target, source, columns, parents, optional, policy, now)
+    kinds = (parents if isinstance(parents, dict) else {p: [p] for p in parents}) | {o: [o] for o in optional}
+    own = F.struct(*columns)
+    for kind, cs in kinds.items():
+        for c in cs:
+            found = source.select(F.col(c).cast("string").alias("src"), own.alias("dst"), F.lit(kind).alias("kind"))
+            edges, _ = upsert_edges(edges, found, ["kind"], policy, now)
+    return merged, edges
 
 
 def set_version(df: DataFrame, parents: list[str], order: list[str], version: str = "version") -> DataFrame:

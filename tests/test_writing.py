@@ -22,30 +22,70 @@ def table(df):
     return {r["k"]: (r["a"], r["b"]) for r in df.collect()}
 
 
-def fold(rows, pick):
+def fold(rows, last=False):
+    """Written one after the other: known values stay, or are replaced by later ones."""
+    key = lambda r: [(x is not None, x if x is not None else 0) for x in r[1:]]
     out = {}
-    for k, a, b in rows:
+    for k, *new in sorted(rows, key=key):
         old = out.get(k, (None, None))
-        out[k] = tuple(x if y is None else y if x is None else pick(x, y) for x, y in zip(old, (a, b), strict=True))
+        out[k] = tuple((o if n is None else n) if last else (n if o is None else o) for o, n in zip(old, new, strict=True))
     return out
 
 
 @settings(max_examples=12, deadline=None)
 @given(ROWS, ROWS)
 def test_upsert_laws(spark, old, new):
-    old = [(k, *v) for k, v in fold(old, min).items()]
-    t, s = spark.createDataFrame(old, KIND), spark.createDataFrame(new, KIND)
+    stored = fold(old)
+    t, s = spark.createDataFrame([(k, *v) for k, v in stored.items()], KIND), spark.createDataFrame(new, KIND)
     kept, taken = table(up.upsert(t, s, ["k"], "ignore", 1)[0]), table(up.upsert(t, s, ["k"], "overwrite", 1)[0])
-    first, fresh_min, fresh_max = fold(old, min), fold(new, min), fold(new, max)
+    first, last = fold(new), fold(new, last=True)
+    assert set(kept) == set(taken) == set(stored) | set(first)
     for k in kept:
         for i in (0, 1):
-            a, lo, hi = (f.get(k, (None, None))[i] for f in (first, fresh_min, fresh_max))
-            assert kept[k][i] == (lo if a is None else a)
-            assert taken[k][i] == (a if hi is None else hi)
+            a, x, y = (f.get(k, (None, None))[i] for f in (stored, first, last))
+            assert kept[k][i] == (x if a is None else a)
+            assert taken[k][i] == (a if y is None else y)
     merged, _ = up.upsert(t, s, ["k"], "overwrite", 1)
     assert table(up.upsert(merged, s, ["k"], "overwrite", 2)[0]) == taken  # again is the same
 
 
+def test_rows_of_one_identity_stay_whole(spark):
+    none = spark.createDataFrame([], "k int, name string, v int")
+    twice = spark.createDataFrame([(1, "b", 1), (1, "a", 9), (2, "c", None), (2, None, 4), (2, "d", 5)], "k int, name string, v int")
+    pick = lambda policy, **o: {r["k"]: (r["name"], r["v"]) for r in up.upsert(none, twice, ["k"], policy, 1, **o)[0].collect()}
+    assert pick("ignore") == {1: ("a", 9), 2: ("c", 4)} and pick("overwrite") == {1: ("b", 1), 2: ("d", 5)}
+    assert pick("ignore", order=["v"])[1] == ("b", 1)
+    rejected = up.upsert(none, twice, ["k"], "track", 1)[1].collect()
+    assert {(r["k"], r["column"], r["old"], r["new"]) for r in rejected} == {(1, "name", "a", "b"), (1, "v", "9", "1"), (2, "name", "c", None), (2, "name", "c", "d"), (2, "v", "4", None), (2, "v", "4", "5")}
+
+
+def test_identity_only_and_missing_identities(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 2), (None, 3), (4, 5)], "src int, dst int")
+    assert sorted((r["src"], r["dst"]) for r in up.upsert_edges(edges.limit(0), edges, now=1)[0].collect()) == [(1, 2), (4, 5)]
+    with pytest.raises(NullPropertyError):
+        up.upsert(edges.limit(0), edges, ["src", "dst"])
+    nan = spark.createDataFrame([(math.nan, 1), (1.0, 2)], "k double, v int")
+    assert [r["k"] for r in up.upsert(nan.limit(0), nan, ["k"], missing="drop")[0].collect()] == [1.0]
+
+
+def test_dependent_parents_keep_their_kind(spark):
+    rows = spark.createDataFrame([(1, 2, "x"), (2, 1, "y"), (2, 1, "z")], "run int, fibre int, v string")
+    got = up.merge_dependent(rows.limit(0), rows, [], ["run", "fibre"], now=1)[0]
+    assert sorted((r["run"], r["fibre"], r["v"]) for r in got.collect()) == [(1, 2, "x"), (2, 1, "y")]
+    within = up.merge_dependent(rows.limit(0), rows, [], {"end": ["run", "fibre"]}, now=1)[0]
+    assert within.count() == 1
+    none = spark.createDataFrame([], "src string, dst struct<v:string>, kind string")
+    by_node, edges = up.merge_object(rows.select("v").limit(0), none, rows, ["v"], ["run"], strategy="node", now=1)
+    assert by_node.count() == 3 and sorted((r["src"], r["dst"]["v"], r["kind"]) for r in edges.collect()) == [("1", "x", "run"), ("2", "y", "run"), ("2", "z", "run")]
+
+
+def test_ordered_and_optional_edges(spark):
+    df = spark.createDataFrame([(1, [7, None, 8]), (2, [])], "k int, xs array<int>")
+    assert sorted(tuple(r) for r in up.ordered_edges(df, "k", "xs").collect()) == [(1, 7, 0), (1, 8, 2)]
+    pairs, none = spark.createDataFrame([(1, 2), (3, None)], "a int, b int"), spark.createDataFrame([], "src int, dst int")
+    assert sorted((r["src"], r["dst"]) for r in up.attach(none, pairs, "a", "b", mirrored=True, now=1).collect()) == [(1, 2), (2, 1)]
+
+
 def test_upsert_errors_and_tracking(spark):
     t, s = spark.createDataFrame([(1, 2, "x")], KIND), spark.createDataFrame([(1, 3, None), (2, 1, "n")], KIND)
     with pytest.raises(CollisionError):
