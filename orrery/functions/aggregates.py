@@ -13,7 +13,7 @@ import builtins
 import statistics
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,17 +38,17 @@ def aggregate(item, wrt, name: str, make: Callable[[Column], Column], fill=None,
         raise DisjointPathError("there is nothing to aggregate")
     if top is not None and (e.node is None or not e.node.under(top)):
         raise DisjointPathError("the aggregated item isn't below wrt")
+    if e.node is not None and isinstance(e.type, T.FractionalType):
+        e = Expression(e.node, _finite(e.column), e.key, e.needs, e.product, e.name)
     key = f"{name}({e.key}@{e.node.key if e.node else ''},{top.key if top else ''})"
     column = "a" + _tag(key)
+    held = Aggregate(column, top, e, make, fill, nulls)
+    return AttributeQuery(item.data, Expression(top, F.col(column), key, (held,), name=name))
 
-    def frame() -> DataFrame:
-        rows = e.node.outer_frame(top) if nulls and e.node is not None else e.frame()
-        rows = e.on(rows, e.node)
-        value = make(e.column).alias(column)
-        return rows.agg(value) if top is None else rows.groupBy(*top.lineage).agg(value)
 
-    held = Aggregate(column, top, frame, fill)
-    return AttributeQuery(item.data, Expression(top, F.col(column), key, (held,), name=name))
+def _finite(c: Column) -> Column:
+    """NaN and infinities are missing values."""
+    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
 def _plain(item) -> bool:
@@ -98,13 +98,15 @@ def count(item, wrt=None, distinct: bool = False):
         return len(set(item)) if distinct else len(list(item))
     if not isinstance(item, ObjectQuery | AttributeQuery):
         item = item.index  # a table has as many rows as its index
-    return aggregate(item, wrt, "count_distinct" if distinct else "count", F.count_distinct if distinct else F.count, _fill("count", as_expression(item)))
+    # an object that is there counts, whatever its identity
+    number = F.count_distinct if distinct else (lambda c: F.count("*")) if isinstance(item, ObjectQuery) else F.count
+    return aggregate(item, wrt, "count_distinct" if distinct else "count", number, F.lit(0).cast("bigint"))
 
 
 def exists(item, wrt=None):
     if _plain(item):
         return builtins.any(True for _ in item)
-    out = aggregate(item, wrt, "exists", lambda c: F.count(c) > 0, EMPTY["exists"])
+    out = aggregate(item, wrt, "exists", (lambda c: F.count("*") > 0) if isinstance(item, ObjectQuery) else (lambda c: F.count(c) > 0), EMPTY["exists"])
     if isinstance(item, ObjectQuery) and _wrt(wrt) is not None:
         out.semi = (item.node, _wrt(wrt), "left_semi")
     return out

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,12 +33,21 @@ def _tag(key: str) -> str:
     return hashlib.md5(key.encode()).hexdigest()[:10]
 
 
+def join_lineage(df: DataFrame, other: DataFrame, ids: list[str], how: str) -> DataFrame:
+    """Join on identities, of which a missing one equals a missing one; the columns of ``df`` stay, then come those of ``other``."""
+    right = other.withColumnsRenamed({c: f"{c}_r" for c in ids})
+    joined = df.join(right, [df[c].eqNullSafe(right[f"{c}_r"]) for c in ids], how)
+    return joined.drop(*[f"{c}_r" for c in ids])
+
+
 class Node:
     """One step of a path: an entity's objects, or the rows of the parent filtered or widened."""
 
     def __init__(self, data, parent: Node | None, key: str, entity: str | None, extend: Callable[[DataFrame | None, bool], DataFrame], singular: bool = False, moves: bool = True):
         self.data, self.parent, self.key, self.entity, self._extend = data, parent, key, entity, extend
         self.singular, self.moves = singular, moves
+        #: Rows of this node with no more of its parent than the identity, if that is to be had without the parent's rows.
+        self.rooted: Callable[[], DataFrame] | None = None
         self.tag = _tag(key) if moves else parent.tag
 
     @cached_property
@@ -74,6 +84,18 @@ class Node:
         """One row per combination of existing objects on the path."""
         return self.extend(self.parent.frame if self.parent else None)
 
+    def bare_frame(self, top: Node | None) -> DataFrame | None:
+        """Rows with the identity of ``top`` but without its other columns: no join with ``top``'s rows.
+
+        Rows whose parent isn't there belong to no row of ``top``, so they are lost when joined back.
+        """
+        if top is None or top.parent is not None or len(self.chain) < 2 or self.chain[0].key != top.key or self.chain[1].rooted is None:
+            return None
+        df = self.chain[1].rooted()
+        for n in self.chain[2:]:
+            df = n.extend(df)
+        return df
+
     def outer_frame(self, top: Node | None) -> DataFrame:
         """Rows of ``top``, with nulls where what is below doesn't exist or is masked."""
         df = top.frame if top else None
@@ -136,11 +158,28 @@ def _link(hop: Hop, data, left: str, right: str, df: DataFrame, target: DataFram
     return df.join(target, [df[f"{left}_{a}"] == target[f"{right}_{b}"] for a, b in pairs], how)
 
 
-def _walk(data, df: DataFrame, left: str, path: list[Hop], entity: str, tag: str, how: str) -> DataFrame:
+def _rooted(data, parent: Node, path: list[Hop], entity: str, tag: str) -> Callable[[], DataFrame] | None:
+    """Along a path that begins with rows that hold the parent's identity, without the parent's rows."""
+    hop, last = path[0], len(path) == 1
+    r, identity = hop.relation, data.registry.entities[parent.entity].identity
+    if parent.parent is not None or hop.up or r.edges is not None or len(identity) != 1 or r.parent != parent.entity or tuple(r.parent_columns or identity) != tuple(identity):
+        return None
+    right = tag if last else f"{tag}v0"
+
+    def rows() -> DataFrame:
+        target = _prefixed(data, entity if last else hop.target, right)
+        key = F.col(f"{right}_{r.columns[0]}")
+        df = target.where(key.isNotNull()).withColumn(parent.id, key)
+        return df if last else _walk(data, df, right, path[1:], entity, tag, "inner", 1).drop(*target.columns)
+
+    return rows
+
+
+def _walk(data, df: DataFrame, left: str, path: list[Hop], entity: str, tag: str, how: str, first: int = 0) -> DataFrame:
     """Along a path; objects between its ends are dropped at the end."""
     between = []
-    for i, hop in enumerate(path):
-        last = i + 1 == len(path)
+    for i, hop in enumerate(path, first):
+        last = i + 1 == len(path) + first
         right = tag if last else f"{tag}v{i}"
         target = _prefixed(data, entity if last else hop.target, right)
         df = _link(hop, data, left, right, df, target, how)
@@ -173,26 +212,73 @@ def _traverse(parent: Node, paths: list[list[Hop]], entity: Entity, label: str)
         return df.join(below.drop(*[c for c in df.columns if c not in on]), on, "left")
 
     singular = len(paths) == 1 and all(h.singular for h in paths[0])
-    return Node(data, parent, key, entity.name, extend, singular)
+    node = Node(data, parent, key, entity.name, extend, singular)
+    if len(paths) == 1 and not data.registry.entities[paths[0][0].target].template:
+        node.rooted = _rooted(data, parent, paths[0], entity.name, tag)
+    return node
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Aggregate:
     """A grouped value to be joined back onto rows that hold the lineage of ``wrt``."""
 
     name: str
     wrt: Node | None
-    frame: Callable[[], DataFrame]
+    item: Expression
+    make: Callable[[Column], Column]
     fill: object = None
+    nulls: bool = False
 
-    def attach(self, df: DataFrame) -> DataFrame:
-        if self.name in df.columns:
-            return df
-        own = self.frame()
-        if self.wrt is None:
-            return df.crossJoin(F.broadcast(own))  # one row
-        df = df.join(own, self.wrt.lineage, "left")
-        return df if self.fill is None else df.withColumn(self.name, F.coalesce(F.col(self.name), self.fill if isinstance(self.fill, Column) else F.lit(self.fill)))
+    @property
+    def rows(self) -> tuple:
+        """What aggregates must have in common to be made in one go."""
+        return (self.item.node.key if self.item.node else None, self.wrt.key if self.wrt else None, self.nulls)
+
+
+def _grouped(members: list[Aggregate]) -> DataFrame:
+    """Aggregates of the same rows, in one grouping."""
+    node, top = members[0].item.node, members[0].wrt
+
+    def made(rows: DataFrame | None) -> DataFrame:
+        for m in members:
+            rows = m.item.on(m.item.frame() if rows is None else rows, node)
+        values = [m.make(m.item.column).alias(m.name) for m in members]
+        return rows.agg(*values) if top is None else rows.groupBy(*top.lineage).agg(*values)
+
+    if node is None:
+        return made(None)
+    if members[0].nulls:
+        return made(node.outer_frame(top))
+    try:
+        bare = node.bare_frame(top)
+        if bare is not None:
+            return made(bare)
+    except AnalysisException:  # a value or a filter takes other columns of wrt
+        pass
+    return made(node.frame)
+
+
+def attach(df: DataFrame, base: Node | None, needs: Iterable) -> DataFrame:
+    """Rows of ``base`` with other levels (nodes) and aggregates joined on; aggregates of the same rows share one grouping."""
+    needs = list(dict.fromkeys(needs))
+    for need in needs:
+        if not isinstance(need, Aggregate):
+            df = _reach(df, base, need)
+        elif need.wrt is not None and base is not None and not set(need.wrt.lineage) <= set(df.columns):
+            df = _reach(df, base, need.wrt)
+    together: dict[tuple, dict[str, Aggregate]] = {}
+    for need in needs:
+        if isinstance(need, Aggregate) and need.name not in df.columns:
+            together.setdefault(need.rows, {})[need.name] = need
+    for members in together.values():
+        own, top = _grouped(list(members.values())), next(iter(members.values())).wrt
+        if top is None:
+            df = df.crossJoin(F.broadcast(own))  # one row
+            continue
+        df = join_lineage(df, own, top.lineage, "left")
+        fills = {m.name: m.fill if isinstance(m.fill, Column) else F.lit(m.fill) for m in members.values() if m.fill is not None}
+        df = df.withColumns({name: F.coalesce(F.col(name), fill) for name, fill in fills.items()}) if fills else df
+    return df
 
 
 class Expression:
@@ -201,16 +287,14 @@ class Expression:
     def __init__(self, node: Node | None, column: Column, key: str, needs: tuple = (), product: bool = False, name: str = "value"):
         self.node, self.column, self.key, self.needs, self.product, self.name = node, column, key, needs, product, name
 
+    @property
+    def data(self):
+        """The dataset behind this."""
+        return self.node.data if self.node is not None else next(n.item.data if isinstance(n, Aggregate) else n.data for n in self.needs)
+
     def on(self, df: DataFrame, base: Node | None) -> DataFrame:
         """``df`` (rows of ``base``) with everything this needs."""
-        for need in self.needs:
-            if isinstance(need, Aggregate):
-                if need.wrt is not None and base is not None and not set(need.wrt.lineage) <= set(df.columns):
-                    df = _reach(df, base, need.wrt)
-                df = need.attach(df)
-            else:
-                df = _reach(df, base, need)
-        return df
+        return attach(df, base, self.needs)
 
     @cached_property
     def type(self) -> T.DataType:
@@ -219,8 +303,8 @@ class Expression:
     def frame(self) -> DataFrame:
         if self.node is not None:
             return self.node.frame
-        spark = next(n.frame().sparkSession for n in self.needs if isinstance(n, Aggregate))
-        return spark.range(1).select()
+        data = next(n.item.data for n in self.needs if isinstance(n, Aggregate))
+        return data.spark.range(1).select()
 
 
 def _reach(df: DataFrame, base: Node | None, node: Node) -> DataFrame:
@@ -404,7 +488,8 @@ class ObjectQuery(Query):
             have = df.columns
             if semi and not outer:
                 below, wrt, how = semi
-                return df.join(below.frame.select(*wrt.lineage), wrt.lineage, how).select(*have)
+                rows = below.bare_frame(wrt)
+                return join_lineage(df, (below.frame if rows is None else rows).select(*wrt.lineage), wrt.lineage, how).select(*have)
             held = e.on(df if e.node is None or e.node.id in df.columns else _reach(df, node, e.node), node)
             if not outer:
                 return held.where(e.column).select(*have)

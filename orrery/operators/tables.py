@@ -14,7 +14,13 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.operators.query import AttributeQuery, Node, ObjectQuery, Query, _tag, as_expression
+from orrery.errors import AttributeNameError, DisjointPathError
+from orrery.naming import suggest
+from orrery.operators.query import AttributeQuery, Node, ObjectQuery, Query, _tag, as_expression, attach, join_lineage
+
+
+#: Values of a list that stands unchanged in every row.
+WIDEST_LIST = 10_000
 
 
 class Table(Query):
@@ -57,16 +63,22 @@ class Table(Query):
         return Table(self.index, self.columns + other.columns)
 
     def __getitem__(self, name: str) -> AttributeQuery:
-        return next(v for k, v in self.columns if k == name)
+        held = {k: v for k, (_, v) in zip(self.names(), self.columns, strict=True)}
+        if name not in held:
+            raise AttributeNameError(f"no column {name}; near it: {', '.join(suggest(name, held))}")
+        return held[name]
 
     def names(self) -> list[str]:
-        """Column names; those that occur more than once get a number."""
+        """Column names; those that occur more than once get a number that makes them unlike all others."""
         seen = Counter(k for k, _ in self.columns)
-        nth: Counter = Counter()
-        out = []
+        taken, nth, out = set(seen), Counter(), []
         for k, _ in self.columns:
-            out.append(f"{k}{nth[k]}" if seen[k] > 1 else k)
-            nth[k] += 1
+            name = k
+            while seen[k] > 1 and name in taken:
+                name = f"{k}{nth[k]}"
+                nth[k] += 1
+            taken.add(name)
+            out.append(name)
         return out
 
     def _singular(self, node: Node | None) -> bool:
@@ -75,15 +87,15 @@ class Table(Query):
 
     def to_df(self) -> DataFrame:
         own = self.index.node
-        df, out, lists = own.frame, [], {}
+        out, lists = [], {}
+        single = [e for e in (as_expression(q) for _, q in self.columns) if self._singular(e.node)]
+        df = attach(own.frame, own, [need for e in single for need in e.needs])
         for name, query in zip(self.names(), (q for _, q in self.columns), strict=True):
             e = as_expression(query)
             if self._singular(e.node):
                 df = e.on(df, own)
                 if e.node is not None and e.node.id not in df.columns:
-                    from orrery.operators.query import _reach
-
-                    df = _reach(df, own, e.node)
+                    df = attach(df, own, [e.node])
                 if e.node is not None and not own.under(e.node):
                     df = _masked_to(df, own, e.node)
                 out.append((name, e.column))
@@ -102,9 +114,11 @@ class Table(Query):
             struct = F.struct(*[F.col(c).alias(f"i{i}") for i, c in enumerate(ids)], *[e.column.alias(f"c{i}") for i, (_, e) in enumerate(members)])
             packed = F.array_sort(F.collect_list(struct)).alias(column)
             if shared is None:
+                if rows.limit(WIDEST_LIST + 1).count() > WIDEST_LIST:
+                    raise DisjointPathError(f"{', '.join(name for name, _ in members)} has nothing to do with the rows and more than {WIDEST_LIST} values: join it by a key, or aggregate it")
                 df = df.crossJoin(F.broadcast(rows.agg(packed)))  # one row
             else:
-                df = df.join(rows.groupBy(*shared.lineage).agg(packed), shared.lineage, "left")
+                df = join_lineage(df, rows.groupBy(*shared.lineage).agg(packed), shared.lineage, "left")
             for i, (name, e) in enumerate(members):
                 values = F.col(f"{column}.c{i}")
                 held[name] = F.coalesce(values, F.array().cast(f"array<{e.type.simpleString()}>"))
