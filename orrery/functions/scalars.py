@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import builtins
 import functools
+import itertools
 import math
 from collections.abc import Callable
 
@@ -55,8 +56,50 @@ def object_id(obj: ObjectQuery) -> AttributeQuery:
     return obj.id
 
 
-def switch(item: AttributeQuery, states: dict, default=None) -> AttributeQuery:
-    """The value of the state that ``item`` equals, else the default; values are queries or constants of one type."""
+def replace(item: AttributeQuery, old: str, new: str) -> AttributeQuery:
+    """Text with every ``old`` replaced."""
+    return combine([item], lambda c: F.replace(c, F.lit(old), F.lit(new)), f"replace({old!r},{new!r})") if isinstance(item, Query) else item.replace(old, new)
+
+
+def append(item: AttributeQuery, *more) -> AttributeQuery:
+    """Text with others put behind it; a missing one counts as empty."""
+    if not isinstance(item, Query):
+        return "".join(str(x) for x in (item, *more) if x is not None)
+    return combine([item, *more], lambda *cs: F.concat_ws("", *[c.cast("string") for c in cs]), "append")
+
+
+def element(item: AttributeQuery, key) -> AttributeQuery:
+    """The value of a map's key, or of a list's place (from 0); null where there is none."""
+    place = isinstance(key, int) and not isinstance(key, bool)
+    if not isinstance(item, Query):
+        return (item[key] if 0 <= key < len(item) else None) if place and not isinstance(item, dict) else item.get(key)
+    if place and isinstance(as_expression(item).type, T.ArrayType):
+        return combine([item], lambda c: F.get(c, F.lit(key)), f"element{key}")
+    return combine([item], lambda c: F.try_element_at(c, F.lit(key)), f"element({key!r})")
+
+
+def filtered(item: AttributeQuery, keep: Callable[[Column], Column] | None = None, make: Callable[[Column], Column] | None = None) -> AttributeQuery:
+    """A list with the values that ``keep`` holds for, each as ``make`` has it."""
+
+    def run(c: Column) -> Column:
+        c = c if keep is None else F.filter(c, keep)
+        return c if make is None else F.transform(c, make)
+
+    return combine([item], run, f"filtered{next(_NTH)}")
+
+
+_NTH = itertools.count()
+
+
+def switch(item: AttributeQuery, states, default=None) -> AttributeQuery:
+    """The value of the state that ``item`` equals, else the default; values are queries or constants of one type.
+
+    With one value instead of states ``item`` is a condition: the value where it holds, else the default.
+    """
+    if not isinstance(states, dict):
+        if not isinstance(as_expression(item).type, T.BooleanType):
+            raise TypeError("without states a switch needs a condition")
+        states = {True: states}
     values = [*states.values(), *([] if default is None else [default])]
     kinds = {_kind(v) for v in values}
     if len(kinds) > 1:

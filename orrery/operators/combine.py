@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import operator
 import warnings
 from collections.abc import Callable, Iterator
+from itertools import count, zip_longest
 from itertools import product as pairs
 
 import pandas as pd
@@ -33,8 +35,14 @@ class Rows:
     __getattr__ = __getitem__
 
 
-def upload(data, table: pd.DataFrame | DataFrame) -> tuple[DataFrame, bool]:
-    """A local table as a frame without its wide columns, and whether it is small enough to broadcast."""
+#: Each upload has columns of its own, in the order of the calls.
+_UPLOADS = count(1)
+
+
+def upload(data, table: pd.DataFrame | DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, bool]:
+    """A local table (or only some of its columns) as a frame without its wide columns, and whether it is small enough to broadcast."""
+    if columns is not None:
+        table = table.select(*columns) if isinstance(table, DataFrame) else table[columns]
     if isinstance(table, DataFrame):
         return table, False
     wide = [c for c in table.columns if len(table) and table[c].map(lambda x: len(x) if isinstance(x, list | tuple) else 0).max() > WIDEST]
@@ -43,9 +51,11 @@ def upload(data, table: pd.DataFrame | DataFrame) -> tuple[DataFrame, bool]:
     return data.spark.createDataFrame(table.drop(columns=wide)), len(table) <= SMALL
 
 
-def join(table, on: str | list[str], objects: ObjectQuery, attributes: AttributeQuery | list[AttributeQuery] | None = None, how: str = "inner") -> tuple[Rows, ObjectQuery]:
+def join(table, on: str | list[str], objects: ObjectQuery, attributes: AttributeQuery | list[AttributeQuery] | None = None, how: str = "inner", columns: list[str] | None = None) -> tuple[Rows, ObjectQuery]:
     """Join a local table to objects; gives the rows' handle and the joined objects.
 
+    Of the table's columns only those of ``columns`` (all, if not given) and the keys leave this machine.
+
     ``how`` is ``inner`` (objects with a row), ``left_object`` (all objects) or
     ``left_table`` (all rows).  Keys that repeat multiply the objects.
     """
@@ -53,9 +63,9 @@ def join(table, on: str | list[str], objects: ObjectQuery, attributes: Attribute
     values = [objects._default()] if attributes is None else list(attributes) if isinstance(attributes, list | tuple) else [attributes]
     if len(keys) != len(values):
         raise ValueError("as many attributes as key columns are needed")
-    frame, small = upload(objects.data, table)
+    frame, small = upload(objects.data, table, None if columns is None else list(dict.fromkeys([*keys, *columns])))
     node = objects.node
-    tag = f"u{abs(hash((id(table), tuple(keys)))) % 10**8}"
+    tag = f"u{next(_UPLOADS)}"
     right = frame.select(*[F.col(f"`{c}`").alias(f"{tag}_{c}") for c in frame.columns])
     exprs = [as_expression(v) for v in values]
     kind = {"inner": "inner", "left_object": "left", "left_table": "right"}[how]
@@ -137,40 +147,15 @@ class Aligned:
     def _with(self, other, op) -> Aligned:
         return Aligned({k: op(v, other.members[k] if isinstance(other, Aligned) else other) for k, v in self.members.items()})
 
-    def __add__(self, other):
-        return self._with(other, lambda a, b: a + b)
-
-    def __sub__(self, other):
-        return self._with(other, lambda a, b: a - b)
-
-    def __mul__(self, other):
-        return self._with(other, lambda a, b: a * b)
-
-    def __truediv__(self, other):
-        return self._with(other, lambda a, b: a / b)
-
-    def __eq__(self, other):
-        return self._with(other, lambda a, b: a == b)
-
-    def __ne__(self, other):
-        return self._with(other, lambda a, b: a != b)
-
-    def __lt__(self, other):
-        return self._with(other, lambda a, b: a < b)
-
-    def __gt__(self, other):
-        return self._with(other, lambda a, b: a > b)
-
-    def __le__(self, other):
-        return self._with(other, lambda a, b: a <= b)
-
-    def __ge__(self, other):
-        return self._with(other, lambda a, b: a >= b)
-
     __hash__ = object.__hash__
 
+    def items(self):
+        """The members with their names."""
+        return self.members.items()
+
     def __iter__(self):
-        return iter(self.members.items())
+        """Rows of the members side by side, as tuples; None where a member has no more."""
+        return zip_longest(*[iter(m) for m in self.members.values()])
 
     def table(self, index: ObjectQuery | None = None) -> Table:
         """Columns ``key_name`` at the deepest common ancestor (or at ``index``)."""
@@ -190,6 +175,35 @@ class Aligned:
         return self.table()(**how)
 
 
+def _forward(name: str, swapped: bool = False):
+    op = getattr(operator, name)
+
+    def method(self, other):
+        return self._with(other, (lambda a, b: op(b, a)) if swapped else op)
+
+    return method
+
+
+for _name in ("add", "sub", "mul", "truediv", "pow", "and_", "or_", "xor", "eq", "ne", "lt", "le", "gt", "ge"):
+    setattr(Aligned, f"__{_name.strip('_')}__", _forward(_name))
+for _name in ("add", "sub", "mul", "truediv", "pow", "and_", "or_", "xor"):
+    setattr(Aligned, f"__r{_name.strip('_')}__", _forward(_name, True))
+for _name in ("neg", "pos", "abs", "invert"):
+    setattr(Aligned, f"__{_name}__", lambda self, op=getattr(operator, _name): self.apply(op))
+
+
 def align(*members: Query, **named: Query) -> Aligned:
     """Align branches under names, or numbers."""
     return Aligned({**{str(i): m for i, m in enumerate(members)}, **named})
+
+
+def cross(objects: ObjectQuery, others: ObjectQuery) -> ObjectQuery:
+    """All of ``others`` for each of ``objects``, which they have nothing to do with: a product, to be asked for by name."""
+    left, right = objects.node, others.node
+
+    def extend(df: DataFrame, outer: bool) -> DataFrame:
+        return df.crossJoin(right.frame)
+
+    node = Node(left.data, left, f"{left.key}x{right.key}", right.entity, extend)
+    node.tag = right.tag
+    return ObjectQuery(node)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.errors import CardinalityError, DisjointPathError
 from orrery.naming import plural, suggest
-from orrery.operators.query import ObjectQuery
+from orrery.operators.query import Node, ObjectQuery, join_lineage
 from orrery.plans.paths import find_paths
 
 
@@ -90,6 +90,42 @@ def related_to_all(edges: DataFrame, of: str, to: str, wanted: DataFrame, exactl
     return (found.where("_all = _n") if exactly else found).select(of)
 
 
+def pattern(objects_: ObjectQuery, related: list[ObjectQuery] = (), unrelated: list[ObjectQuery] = ()) -> ObjectQuery:
+    """The objects that are related to every object of each query in ``related`` and to none of those in ``unrelated``.
+
+    The queries may be of parents or of children, on any path that the names infer.
+    A set to be had as a whole is counted, not listed: what is joined is one row.
+    """
+    node = objects_.node
+
+    def hits(q: ObjectQuery) -> tuple[DataFrame, DataFrame]:
+        found = q.node.frame.select(F.col(q.node.id).alias("_wanted")).distinct()
+        to = _any_path(objects_, q.node.entity).node
+        pairs = to.frame.select(*node.lineage, F.col(to.id).alias("_wanted")).distinct()
+        return pairs.join(found, "_wanted", "left_semi"), found.agg(F.count("*").alias("_size"))
+
+    def extend(df: DataFrame, outer: bool) -> DataFrame:
+        if outer:
+            raise DisjointPathError("a pattern chooses objects that exist; choose them first")
+        for q in related:
+            pairs, size = hits(q)
+            whole = pairs.groupBy(*node.lineage).agg(F.count("*").alias("_n")).crossJoin(F.broadcast(size)).where("_n = _size")
+            df = join_lineage(df, whole.select(*node.lineage), node.lineage, "left_semi")
+        for q in unrelated:
+            df = join_lineage(df, hits(q)[0].select(*node.lineage), node.lineage, "left_anti")
+        return df
+
+    key = f"{node.key}[related {[q.node.key for q in related]} unrelated {[q.node.key for q in unrelated]}]"
+    return ObjectQuery(Node(node.data, node, key, node.entity, extend, True, moves=False))
+
+
+def _any_path(query: ObjectQuery, entity: str) -> ObjectQuery:
+    """The related objects of an entity, one or many."""
+    found = query.data.registry.entities[entity]
+    single = _reaches(query.data.registry, query.node.entity, entity, True)
+    return query._to(found, not single, entity)
+
+
 def without(objects_: DataFrame, edges: DataFrame, of: str) -> DataFrame:
     """Objects that have none of the edges."""
     return objects_.join(edges.select(of).distinct(), of, "left_anti")

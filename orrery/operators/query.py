@@ -58,6 +58,11 @@ class Node:
     def id(self) -> str:
         return f"{self.tag}_id"
 
+    @property
+    def place(self) -> str:
+        """The column with an object's place in a list of identities, where it was asked for by one."""
+        return f"{self.tag}__place"
+
     @cached_property
     def lineage(self) -> list[str]:
         """Identity columns of all objects on the path."""
@@ -509,12 +514,19 @@ class ObjectQuery(Query):
                     own = [c for c in df.columns if c.startswith(node.tag + "_")]
                     return df.select(*[F.when(hit, F.col(c)).alias(c) if c in own else F.col(c) for c in df.columns])
                 return df.where(hit)
-            wanted = spark.createDataFrame([(x,) for x in ids], f"`{node.id}` {kind}")
+            wanted = spark.createDataFrame([(x, i) for i, x in enumerate(ids)], f"`{node.id}` {kind}, `{node.place}` int")
             wanted = F.broadcast(wanted) if len(ids) <= SMALL else wanted
             return df.join(wanted, node.id, "inner")
 
         return ObjectQuery(Node(self.data, node, f"{node.key}[ids {ids!r}]", node.entity, extend, single, moves=False), self._rows)
 
+    def of_type(self, entity: str) -> ObjectQuery:
+        """The objects of a template that are of one of the entities that extend it."""
+        if not self._entity.template or entity not in self.data.registry.subclasses(self.node.entity):
+            raise TypeError(f"{entity} doesn't extend {self.node.entity}")
+        kind = Expression(self.node, F.col(self.node.column("_type")) == entity, f"type={entity}")
+        return self._mask(AttributeQuery(self.data, kind))
+
     def _slice(self, s: slice) -> ObjectQuery:
         """The first objects of each parent, in the order of their identity."""
         from pyspark.sql import Window
@@ -685,6 +697,9 @@ class AttributeQuery(Query):
     def __pow__(self, other):
         return self._two(other, F.pow, "pow")
 
+    def __rpow__(self, other):
+        return self._two(other, F.pow, "pow", swap=True)
+
     def __neg__(self):
         return combine([self], lambda a: -a, "neg")
 

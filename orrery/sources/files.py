@@ -42,6 +42,47 @@ def file_parts(files: DataFrame, names: list[str]) -> DataFrame:
     return files.crossJoin(F.broadcast(files.sparkSession.createDataFrame(list(enumerate(names)), "extn int, part string")))
 
 
+def wrong_parts(manifest: DataFrame, expected: int) -> DataFrame:
+    """Files whose number of parts (``n``) isn't the expected one."""
+    return manifest.groupBy("fname").agg(F.count("*").alias("n")).where(F.col("n") != expected)
+
+
+def headers(located: DataFrame, read: Callable[[str, int], dict], key: str | None = None, path: str = "path", extn: str = "extn") -> DataFrame:
+    """Headers of the parts behind locators (path, extn): a map of all their keywords as text, or the value of one.
+
+    ``read(path, extn)`` gives a part's header; it is called once for each part in a batch.
+    """
+    places = located.select(path, extn).distinct()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [{str(k): None if v is None else str(v) for k, v in read(p, int(e)).items()} for p, e in zip(frame[path], frame[extn], strict=True)]
+            yield frame.assign(header=[x if key is None else x.get(key) for x in found])
+
+    kinds = dict(located.dtypes)
+    return places.mapInPandas(run, f"`{path}` {kinds[path]}, `{extn}` {kinds[extn]}, header {'map<string,string>' if key is None else 'string'}")
+
+
+def locators(rows: DataFrame, path: str, extn: int, index: Column, column: str) -> DataFrame:
+    """Rows with a locator (path, extn, index, column) of a product each, to be read late."""
+    return rows.withColumn("locator", F.struct(F.lit(path).alias("path"), F.lit(extn).alias("extn"), index.alias("index"), F.lit(column).alias("column")))
+
+
+def write_masked(df: DataFrame, path: str, fills: dict[str, object]) -> None:
+    """Write a table whose fill values stand for masked entries: these become null, NaN stays NaN, and the fill values are kept beside the columns."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        out.append(F.when(c != F.lit(fills[f.name]), c).alias(f.name, metadata={"fill": fills[f.name]}) if f.name in fills else c)
+    df.select(*out).write.parquet(path)
+
+
+def read_masked(spark: SparkSession, path: str, filled: bool = False) -> DataFrame:
+    """Read it back: masked entries are null, or have their fill values again with ``filled``."""
+    df = spark.read.parquet(path)
+    return df.select(*[F.coalesce(F.col(f"`{f.name}`"), F.lit(f.metadata["fill"]).cast(f.dataType)).alias(f.name) if filled and "fill" in f.metadata else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 def text_table(spark: SparkSession, path: str, sep: str = " ", **options) -> DataFrame:
     """A table in text with a header."""
     return spark.read.options(header=True, inferSchema=True, sep=sep, ignoreLeadingWhiteSpace=True, **options).csv(path)
