@@ -34,7 +34,7 @@ find those that may occur ``LEAST`` times, then those alone with their contexts
 and suffixes.  The rows of ``docs`` must come in the same order if a task is run
 again, as those of a scan do.
 
-Words and grams are known by 64-bit hashes (48 bits and their span when scored).  Defined cases: a null text is empty
+Words and grams are known by 64-bit hashes (40 bits and their span when scored).  Defined cases: a null text is empty
 and has its end only; repeated rows get equal scores and count as often as they
 occur in training; without training texts N = V = 0 and every token has
 probability 1/(0 + 1), base score 0; an empty table gives no rows; other columns
@@ -65,7 +65,7 @@ DISCOUNT = 0.6
 #: The largest bitmap has 2 to this power bits.
 MOST_BITS = 27
 #: Entries a task gathers before it passes them on as a run.
-RUN = 3_000_000
+RUN = 2_000_000
 #: Log2 of the tokens of a hash range.
 SPAN = 17
 END = U64(0x0E2D0F7E87000001)
@@ -91,10 +91,11 @@ def _places(ptr: np.ndarray) -> np.ndarray:
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A bitmap that all keys ``k`` pass, and few others."""
+    """A bitmap that all keys ``k`` pass, and few others: two bits a key."""
     bits = min(MOST_BITS, max(12, int(np.ceil(np.log2(max(1, 32 * keys.count()))))))
+    turned = keys.select(F.explode(F.array("k", F.shiftleft("k", 32).bitwiseOR(F.shiftrightunsigned("k", 32)))).alias("k"))
     word, bit = F.shiftrightunsigned("k", 64 - (bits - 6)), F.expr("shiftleft(1L, cast(k & 63 as int))")
-    table = keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    table = turned.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << (bits - 6), U64)
     out[table["word"].to_numpy()] = table["bit"].to_numpy().astype(np.int64).view(U64)
     return out
@@ -102,7 +103,11 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
 
 def _passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     shift = U64(64 - (len(bitmap).bit_length() - 1))
-    return (bitmap[(keys >> shift).astype(np.int64)] >> (keys & U64(63))) & U64(1) > 0
+    out = (bitmap[(keys >> shift).astype(np.int64)] >> (keys & U64(63))) & U64(1) > 0
+    some = np.flatnonzero(out)
+    turned = (keys[some] << U64(32)) | (keys[some] >> U64(32))
+    out[some] = (bitmap[(turned >> shift).astype(np.int64)] >> (turned & U64(63))) & U64(1) > 0
+    return out
 
 
 def _span_bits(n: int) -> int:
@@ -382,9 +387,7 @@ def _collected(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
 ENTRIES, LOOKUPS, TEXTS = 0, 1, 2
 KINDS = "span int, kind int, chunk long, data binary"
 ENTRY = np.dtype([("k", "<u8"), ("base", "<f8"), ("gain", "<f8"), ("known", "<u4")])
-LOOKUP = np.dtype([("low", "<u4"), ("high", "<u2"), ("row", "<u2")])
 TEXT = np.dtype([("row", "<u2"), ("null", "u1"), ("doc_id", "<i8"), ("n_tokens", "<i8"), ("n_known", "<i8"), ("base", "<f8"), ("gain", "<f8")])
-PARTIAL = np.dtype([("row", "<u2"), ("known", "<u4"), ("base", "<f8"), ("gain", "<f8")])
 #: A chunk has less texts than a row number can tell apart.
 CHUNK_TEXTS = 60_000
 
@@ -438,12 +441,14 @@ def _look(words: np.ndarray, root: np.ndarray, grams: np.ndarray, gains: np.ndar
             yield from _kinds(np.array([chunk % (1 << bits)]), TEXTS, chunk, [np.concatenate(texts).tobytes()])
             k, row = np.concatenate(keys), np.concatenate(owners)
             order = np.argsort(k, kind="stable")
-            k = k[order]
-            data = np.empty(len(k), LOOKUP)
-            bare = k << U64(bits)
-            data["high"], data["low"], data["row"] = bare >> U64(48), (bare >> U64(16)) & U64(0xFFFFFFFF), row[order]
-            if len(k):
-                spans, parts = _cut(k, 64 - bits, data)
+            k, row = k[order], row[order].astype("<u2")
+            bare = (k << U64(bits)) >> U64(24)
+            high, low = (bare >> U64(32)).astype(np.uint8), bare.astype("<u4")
+            spans, heads = np.unique((k >> U64(64 - bits)).astype(np.int32), return_index=True)
+            # the high bytes of sorted keys hardly change, so they are kept apart and compress well
+            cuts = np.append(heads, len(k)).tolist()
+            parts = [high[a:b].tobytes() + low[a:b].tobytes() + row[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            if parts:
                 yield from _kinds(spans, LOOKUPS, chunk, parts)
 
         for rows, data, bounds in blocks(batches):
@@ -497,9 +502,7 @@ def _answer(bits: int):
             for chunk, table in sums.items():
                 row = np.flatnonzero(table.any(axis=0))
                 if len(row):
-                    data = np.empty(len(row), PARTIAL)
-                    data["row"], data["known"], data["base"], data["gain"] = row, table[0, row], table[1, row], table[2, row]
-                    yield from _kinds(np.zeros(1, np.int32), LOOKUPS, chunk, [data.tobytes()])
+                    yield from _kinds(np.zeros(1, np.int32), LOOKUPS, chunk, [row.astype("<u2").tobytes() + table[0, row].astype("<u4").tobytes() + table[1:, row].astype("<f8").tobytes()])
 
         for batch in batches:
             for at, kind, chunk, data in zip(*(batch.column(c).to_pylist() for c in ("span", "kind", "chunk", "data")), strict=True):
@@ -512,12 +515,13 @@ def _answer(bits: int):
                 elif held:
                     if entries is None:
                         entries = np.sort(np.frombuffer(b"".join(held), ENTRY), order="k")
-                        bare = (entries["k"] << U64(bits)) >> U64(16)
-                    asked = np.frombuffer(data, LOOKUP)
-                    k = (asked["high"].astype(U64) << U64(32)) | asked["low"].astype(U64)
+                        bare = (entries["k"] << U64(bits)) >> U64(24)
+                    n = len(data) // 7
+                    k = (np.frombuffer(data, np.uint8, n).astype(U64) << U64(32)) | np.frombuffer(data, "<u4", n, n)
+                    row = np.frombuffer(data, "<u2", n, 5 * n)
                     i = np.minimum(np.searchsorted(bare, k), len(bare) - 1)
                     hit = bare[i] == k
-                    i, row = i[hit], asked["row"][hit].astype(np.int64)
+                    i, row = i[hit], row[hit].astype(np.int64)
                     if not len(i):
                         continue
                     n, old = int(row.max()) + 1, sums.get(chunk)
@@ -545,10 +549,11 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if at != chunk:
                 chunk, (known, base, gain) = at, np.zeros((3, CHUNK_TEXTS))
             if kind == LOOKUPS:
-                part = np.frombuffer(data, PARTIAL)
-                known[part["row"]] += part["known"]
-                base[part["row"]] += part["base"]
-                gain[part["row"]] += part["gain"]
+                n = len(data) // 22
+                row = np.frombuffer(data, "<u2", n)
+                known[row] += np.frombuffer(data, "<u4", n, 2 * n)
+                base[row] += np.frombuffer(data, "<f8", n, 6 * n)
+                gain[row] += np.frombuffer(data, "<f8", n, 14 * n)
             else:
                 texts = np.frombuffer(data, TEXT)
                 row = texts["row"]
