@@ -50,6 +50,7 @@ SKETCH_BITS = 20
 RANGES = 128
 MOST_BITS = 27
 ROUNDS = 2
+HEADS = 32
 #: Hash ranges in which runs are merged, and the n-grams of a run.
 SPANS, RUN = 1 << 12, 3_000_000
 SETS = "doc_id long, n_shingles long, key binary, first int, prefix array<long>, spread binary"
@@ -312,6 +313,26 @@ def _leaders(posts: DataFrame, member: Column) -> DataFrame:
     return posts.groupBy("gram").agg(first.alias("x")).select("gram", F.col("x.m").alias("l"))
 
 
+def _across(posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (m, l) of members of different components of an n-gram's group that may link, each at the first n-gram that both have.
+
+    Members of a group's largest component aren't paired with each other, only
+    with the others, so a group of near copies costs its stragglers times its size,
+    and what doesn't fit never leaves the join.  A pair's first shared n-gram is known
+    from the ``HEADS`` first ones of either prefix; beyond these a pair may be met
+    again.
+    """
+    heads = posts.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "gram"))), 1, HEADS).alias("heads"))
+    before = F.transform(F.filter("heads", lambda h: h["at"] < F.col("at")), lambda h: h["gram"])
+    sizes = posts.groupBy("gram", "label").agg(F.count("*").alias("size"))
+    major = sizes.groupBy("gram").agg(F.max(F.struct("size", "label")).alias("x")).select("gram", F.col("x.label").alias("major"))
+    full = stored(posts.join(heads, "doc_id").join(major, "gram").select("gram", "doc_id", "n", "at", "label", before.alias("before"), (F.col("label") == F.col("major")).alias("main")), "sides")
+    side = F.struct("doc_id", "n", "at", "label", "before", "main")
+    minor, every = full.where("not main").select("gram", side.alias("m")), full.select("gram", side.alias("l"))
+    met = (F.col("m.label") != F.col("l.label")) & (F.col("l.main") | (F.col("m.doc_id") < F.col("l.doc_id"))) & _fitting("m", "l", percent) & ~F.arrays_overlap("m.before", "l.before")
+    return minor.join(every.hint("merge"), "gram").where(met)
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -389,16 +410,7 @@ def similarity_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: st
                 leader = _leaders(others, member)
             pairs = posts.select("gram", member.alias("m")).join(leader, "gram").where("m.label <> l.label")
         else:
-            # components of a group in pairs, if their members' sizes and places leave room for a link
-            sides = posts.groupBy("gram", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("at")).alias("room"))
-            one_side, other_side = (sides.select("gram", F.col("label").alias(c), F.struct("lo", "hi", "room").alias(f"{c}_")) for c in "pq")
-            p_, q_ = F.col("p_"), F.col("q_")
-            least = F.ceil(percent * (p_.lo + q_.lo) / (100 + percent) - 1e-9)
-            fits = (100 * p_.hi >= percent * q_.lo) & (100 * q_.hi >= percent * p_.lo) & (F.least(p_.room, q_.room) >= least)
-            two = one_side.join(other_side, "gram").where((F.col("p") < F.col("q")) & fits).select("gram", "p", "q")
-            left = posts.select("gram", F.col("label").alias("p"), member.alias("m"))
-            right = posts.select("gram", F.col("label").alias("q"), member.alias("l"))
-            pairs = two.join(left, ["gram", "p"]).join(right, ["gram", "q"])
+            pairs = _across(posts, percent)
         pairs = _ordered(pairs.where(_fitting("m", "l", percent)).select(F.col("m.doc_id").alias("x"), F.col("l.doc_id").alias("y")))
         if verified is not None:
             pairs = pairs.join(verified, ["a", "b"], "left_anti")
