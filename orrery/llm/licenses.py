@@ -1,16 +1,15 @@
 """License scans with ordered signature rules, DataFrame functions only.
 
-Rules are regular expressions over the words of a text (A-Z lower-cased, words
-joined by single spaces).  Most are the product of a family's written names,
-versions and the phrasings around them, so there are hundreds.  A rule is tried
-only where the text holds its keyword.  Detections are word intervals; one that
+Rules are the hand-written signatures of ``_signatures``: regular expressions over
+the words of a text (A-Z lower-cased, words joined by single spaces).  The rules of
+one family and priority are one pattern of ordered alternatives, tried only where
+the text holds a keyword of the family.  Detections are word intervals; one that
 lies inside another detection is suppressed if the other's rule has the higher
-priority, or the same with a longer interval, or an equal interval and an
-earlier rule.
+priority, or the same with a longer interval, or an equal interval and an earlier
+rule: detections are put in order of their starts and gone through once.
 
-Texts without any keyword of any family are settled by one test of the whole
-text; only the others are split into words.  Everything is done inside a row:
-nothing is shuffled.
+Texts without any stem of ``GATE`` are settled by tests of the whole text.
+Everything is done inside a row: nothing is shuffled.
 
 Defined cases: null texts are empty; a text without words has no places, null
 positions, no labels and score 0; overlapping phrases all count as places;
@@ -20,169 +19,164 @@ ignored.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm._signatures import SIGNATURES
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Of texts with A-Z lower-cased.
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Of texts as they are.
-WORD_RAW = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+NOT_WORD_RAW = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-
-
-@dataclass(frozen=True)
-class Family:
-    """Names of a license as patterns of words, its versions (pattern, suffix of the label), and a keyword."""
-
-    label: str
-    keyword: str
-    names: tuple[str, ...]
-    versions: tuple[tuple[str, str], ...] = ()
-
-
-# Names and versions of public licenses, as they stand in texts.
-FAMILIES = (
-    Family("mit", "mit", ("mit", "x11", "expat", "mit x11")),
-    Family("apache", "apache", ("apache", "apache software", "asf"), (("1 0", "-1.0"), ("1 1", "-1.1"), ("2(?: 0)?", "-2.0"))),
-    Family("gpl", "gpl", ("gpl", "gnu gpl"), (("1(?: 0)?", "-1.0"), ("2(?: 0)?", "-2.0"), ("3(?: 0)?", "-3.0"))),
-    Family("gpl", "general public", ("general public", "gnu general public"), (("1(?: 0)?", "-1.0"), ("2(?: 0)?", "-2.0"), ("3(?: 0)?", "-3.0"))),
-    Family("lgpl", "lgpl", ("lgpl", "gnu lgpl"), (("2(?: 0)?", "-2.0"), ("2 1", "-2.1"), ("3(?: 0)?", "-3.0"))),
-    Family("lgpl", "esser general", ("lesser general public", "gnu lesser general public"), (("2 1", "-2.1"), ("3(?: 0)?", "-3.0"))),
-    Family("agpl", "agpl", ("agpl", "gnu agpl"), (("1(?: 0)?", "-1.0"), ("3(?: 0)?", "-3.0"))),
-    Family("agpl", "affero", ("affero general public", "gnu affero general public"), (("1(?: 0)?", "-1.0"), ("3(?: 0)?", "-3.0"))),
-    Family("bsd", "bsd", ("bsd", "new bsd", "modified bsd", "simplified bsd", "revised bsd"), (("0 clause", "-0-clause"), ("2 clause", "-2-clause"), ("3 clause", "-3-clause"), ("4 clause", "-4-clause"))),
-    Family("mpl", "mpl", ("mpl",), (("1 0", "-1.0"), ("1 1", "-1.1"), ("2(?: 0)?", "-2.0"))),
-    Family("mpl", "mozilla", ("mozilla public", "mozilla"), (("1 0", "-1.0"), ("1 1", "-1.1"), ("2(?: 0)?", "-2.0"))),
-    Family("epl", "eclipse", ("eclipse public", "eclipse"), (("1(?: 0)?", "-1.0"), ("2(?: 0)?", "-2.0"))),
-    Family("cddl", "cddl", ("cddl",), (("1(?: 0)?", "-1.0"), ("1 1", "-1.1"))),
-    Family("cddl", "development and distribution", ("common development and distribution",), (("1(?: 0)?", "-1.0"), ("1 1", "-1.1"))),
-    Family("cc-by", "creative commons", ("creative commons attribution", "creative commons by"), (("2(?: 0)?", "-2.0"), ("3(?: 0)?", "-3.0"), ("4(?: 0)?", "-4.0"))),
-    Family("cc-by-sa", "creative commons", ("creative commons attribution share ?alike", "creative commons by sa"), (("2(?: 0)?", "-2.0"), ("3(?: 0)?", "-3.0"), ("4(?: 0)?", "-4.0"))),
-    Family("cc0", "cc0", ("cc0", "cc0 universal"), (("1(?: 0)?", "-1.0"),)),
-    Family("isc", "isc", ("isc", "internet systems consortium")),
-    Family("zlib", "zlib", ("zlib", "zlib libpng")),
-    Family("boost", "boost", ("boost software", "boost"), (("1(?: 0)?", "-1.0"),)),
-    Family("artistic", "artistic", ("artistic", "perl artistic"), (("1(?: 0)?", "-1.0"), ("2(?: 0)?", "-2.0"))),
-    Family("unlicense", "unlicense", ("unlicense", "the unlicense")),
-    Family("wtfpl", "wtfpl", ("wtfpl",), (("2(?: 0)?", "-2.0"),)),
-    Family("psf", "python", ("python software foundation", "python"), (("2(?: 0)?", "-2.0"),)),
-    Family("ofl", "open font", ("sil open font", "open font"), (("1(?: 0)?", "-1.0"), ("1 1", "-1.1"))),
-    Family("eupl", "european union public", ("european union public",), (("1 1", "-1.1"), ("1 2", "-1.2"))),
-)
-#: Whole sentences of license texts: keyword, pattern, label.
-NOTICES = (
-    ("permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("permission to use copy", "permission to use copy modify and or distribute this software for any purpose", "isc"),
-    ("redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("you may not use this file", "you may not use this file except in compliance with the license", "apache"),
-    ("terms of the gnu", "redistribute it and or modify it under the terms of the gnu", "gpl"),
-    ("all rights reserved", "(?:copyright )?(?:c )?(?:[0-9]{4} )?(?:[^ ]+ ){0,4}all rights reserved", "all-rights-reserved"),
-    ("spdx license identifier", "spdx license identifier(?: [^ ]+){1,4}", "spdx"),
-    ("public domain", "(?:released|dedicated|placed) (?:to|into|in) the public domain", "public-domain"),
-)
-
-
-#: A text without any of these holds no detection: every rule's pattern needs one of them.
+#: A text without any of these holds no detection: each is in every match of some rules, and every rule has one.
 GATE = (
-    "licen", "released", "distribut", "available", "apache", "gpl", "general", "affero", "bsd", "mpl", "mozilla", "eclipse", "cddl",
-    "commons", "cc0", "zlib", "boost", "artistic", "wtfpl", "python", "font", "european", "permission", "reserved", "domain", "spdx",
-    "foundation", "not use this", "isc v", "x11 ", "expat", "asf",
+    "licen", "permission", "redistribut", "provided", "neither the name", "terms of the gnu", "apache", "asl ", "gpl", "bsd", " mpl", " epl", "no attribution", "cddl", "cc0", "cc by", "creative commons", "waived all",
+    "bsl 1", "artistic 2", "terms as perl", "unencumbered", "do what the fuck", "wtfpl", "psf 2", "ofl 1", "eupl", "odbl", "w3c software", "cecill", "mulan", "nasa open", "busl", "reserved",
+    "unauthorized copying", "confidential", "public domain", "under the mit", "under the terms of the mit",
 )
+#: A word never holds these: they stand around a match.
+OPEN, CLOSE = "\x01", "\x02"
+#: Items of an array that grows one by one are kept in blocks of this size.
+BLOCK = 256
+SPAN = "struct<start:int,low:int,rank:int,rule:int,label:string>"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """One signature: a pattern of whole words, its keyword, label and priority."""
+    """One signature: a pattern of whole words, its family and the family's keywords, label and priority."""
 
-    keyword: str
+    family: str
+    keywords: tuple[str, ...]
     pattern: str
     label: str
     priority: int
 
 
-def rules() -> list[Rule]:
-    """All rules in order: notices, then versioned names, plain names, phrasings and the base phrases."""
-    out = [Rule(k, p, label, 4) for k, p, label in NOTICES]
-    for f in FAMILIES:
-        for name in f.names:
-            keyword = f.keyword if f.keyword in name else name
-            for version, suffix in f.versions:
-                out.append(Rule(keyword, f"{name} (?:license |licence )?(?:version |v )?{version}", f.label + suffix, 3))
-                out.append(Rule(keyword, f"{name} (?:license |licence )?v{version}", f.label + suffix, 3))
-                out.append(Rule(keyword, f"{name} (?:license |licence )?(?:version |v )?{version} or (?:any )?later", f"{f.label}{suffix}-or-later", 3))
-            out.append(Rule(keyword, f"{name} licen[cs]e", f.label, 2))
-            out.append(Rule(keyword, f"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?{name}", f.label, 2))
-            out.append(Rule(keyword, f"licen[cs]e {name}", f.label, 1))
-    return out + [Rule(phrase, phrase, label, 2) for phrase, label in BASE.items()]
+def rules(text: str = SIGNATURES) -> list[Rule]:
+    """The rules of a text of signatures, in order."""
+    out, family, keywords = [], "", ()
+    for line in filter(None, map(str.strip, text.splitlines())):
+        if line.startswith("["):
+            family, _, words = line[1:-1].partition(": ")
+            keywords = tuple(words.split(", "))
+        else:
+            priority, label, pattern = line.split(" ", 2)
+            out.append(Rule(family, keywords, pattern, label, int(priority)))
+    return out
 
 
-def _normal(words: Column) -> Column:
-    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+def _spaces(x: Column) -> Column:
+    return (F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))).cast("int")
 
 
-def _literal(items: list[Rule]) -> Column:
-    return F.array(*[F.struct(F.lit(r.keyword).alias("keyword"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(i).alias("rule")) for i, r in enumerate(items)])
+def _grow(start: dict[str, Column], kind: str) -> Column:
+    """An accumulator with fields of its own and a growing array, which is copied block by block only."""
+    return F.struct(*[v.alias(k) for k, v in start.items()], F.array().cast(f"array<array<{kind}>>").alias("done"), F.array().cast(f"array<{kind}>").alias("last"))
 
 
-def _spaces(x: Column) -> Column:
-    return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+def _push(acc: Column, item: Column, keep: Column | None = None) -> list[Column]:
+    """The array's fields with one item more, if ``keep``."""
+    full = F.size(acc["last"]) >= BLOCK
+    done = F.when(full, F.concat(acc["done"], F.array(acc["last"]))).otherwise(acc["done"])
+    last = F.when(full, F.array(item)).otherwise(F.concat(acc["last"], F.array(item)))
+    if keep is None:
+        return [done.alias("done"), last.alias("last")]
+    return [F.when(keep, done).otherwise(acc["done"]).alias("done"), F.when(keep, last).otherwise(acc["last"]).alias("last")]
+
+
+def _grown(acc: Column) -> Column:
+    return F.concat(F.flatten(acc["done"]), acc["last"])
+
+
+def _bound(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` made once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
 
+def _marked(text: Column, pattern: str) -> Column:
+    """The text with every match of a pattern of whole words marked."""
+    return F.regexp_replace(text, f"(?<= )(?:{pattern})(?= )", f"{OPEN}$0{CLOSE}")
 
-def _found(text: Column, rule: Column) -> Column:
-    """Detections of one rule: first and last word of every match."""
-    hits, gaps = F.regexp_extract_all(text, rule["pattern"], F.lit(0)), F.split(text, rule["pattern"], -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + _spaces(x["gap"])
-        n = _spaces(x["hit"])
-        return F.struct((at + n).alias("at"), F.concat(acc["spans"], F.array(F.struct((at - 1).alias("start"), (at - 1 + n).alias("end")))).alias("spans"))
+def _found(marked: Column, made, kind: str) -> Column:
+    """``made(start, end, hit)`` for every marked match; words are numbered from 0."""
 
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    spans = F.aggregate(pairs, start, step)["spans"]
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), rule["priority"].alias("priority"), rule["rule"].alias("rule"), rule["label"].alias("label")))
+    def step(acc: Column, piece: Column) -> Column:
+        hit, rest = F.substring_index(piece, CLOSE, 1), F.substring_index(piece, CLOSE, -1)
+        last = acc["at"] - 1 + _spaces(hit)
+        return F.struct((last + 1 + _spaces(rest)).alias("at"), *_push(acc, made(acc["at"] - 1, last, hit)))
 
+    def found(pieces: Column) -> Column:
+        return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), _grow({"at": _spaces(F.element_at(pieces, 1))}, kind), step, _grown)
 
-def _standing(spans: Column) -> Column:
-    """Detections that no other suppresses."""
+    return _bound(F.split(marked, OPEN, -1), found)
 
-    def beaten(d: Column, e: Column) -> Column:
-        inside = (e["start"] <= d["start"]) & (e["end"] >= d["end"])
-        longer = (e["end"] - e["start"]) > (d["end"] - d["start"])
-        same = (e["end"] - e["start"]) == (d["end"] - d["start"])
-        return inside & ((e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (longer | (same & (e["rule"] < d["rule"])))))
 
-    return F.filter(spans, lambda d: ~F.exists(spans, lambda e: beaten(d, e)))
+def _detected(text: Column, items: list[Rule]) -> Column:
+    """All detections, in order of start, longer ones first, then by priority and rule."""
+    passes = [list(run) for _, run in groupby(sorted(enumerate(items), key=lambda ir: (ir[1].family, -ir[1].priority)), key=lambda ir: (ir[1].family, ir[1].priority))]
+    has = {r.keywords: reduce(or_, (F.contains(text, F.lit(k)) for k in r.keywords)) for r in items}
+    marked = F.array(*[F.when(has[run[0][1].keywords], _marked(text, "|".join(r.pattern for _, r in run))) for run in passes])
+    rows = [[{"pattern": f"^(?:{r.pattern})$", "rule": i, "rank": -r.priority, "label": r.label} for i, r in run] for run in passes]
+    table = F.from_json(F.lit(json.dumps(rows)), "array<array<struct<pattern:string,rule:int,rank:int,label:string>>>")
+
+    def one(m: Column, rank: Column) -> Column:
+        def made(first: Column, last: Column, hit: Column) -> Column:
+            # a match is that of the first rule that fits it whole
+            fit = F.element_at(F.filter(F.element_at(table, rank + 1), lambda r: F.rlike(hit, r["pattern"])), 1)
+            return _bound(fit, lambda r: F.struct(first.alias("start"), (-last).alias("low"), r["rank"].alias("rank"), r["rule"].alias("rule"), r["label"].alias("label")))
+
+        return F.when(F.contains(m, F.lit(OPEN)), _found(m, made, SPAN)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    return F.array_sort(F.flatten(F.transform(marked, one)))
+
+
+def _standing(spans: Column, levels: tuple[int, ...]) -> Column:
+    """Of detections in order, those that no other suppresses.
+
+    One that suppresses another comes before it, so the largest end so far of each
+    priority tells: a detection falls if one of its priority or above reaches its end.
+    """
+    start = _grow({f"p{n}": F.lit(-1) for n in levels}, SPAN)
+
+    def step(acc: Column, d: Column) -> Column:
+        end = -d["low"]
+        stands = ~reduce(or_, ((F.lit(n) >= -d["rank"]) & (acc[f"p{n}"] >= end) for n in levels))
+        ends = [F.when((-d["rank"] == n) & (end > acc[f"p{n}"]), end).otherwise(acc[f"p{n}"]).alias(f"p{n}") for n in levels]
+        return F.struct(*ends, *_push(acc, d, stands))
+
+    return F.aggregate(spans, start, step, _grown)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", signatures: list[Rule] | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and detections.
 
+    ``detections`` has start and end (words from 0), priority, rule and label.
     ``score`` is the share of the text's words that standing detections cover
     (at most 1), to the power 1/4.
     """
     items = rules() if signatures is None else signatures
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    bare = F.regexp_replace(F.col("text"), WORD_RAW, "x")
-    count = (F.length(bare) - F.length(F.replace(bare, F.lit("x"), F.lit("")))).cast("long")
-    words = F.filter(F.split(F.translate(F.col("text"), UPPER, LOWER), NOT_WORD), lambda w: w != "")
-    docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.lower(text).alias("low"))
+    bare = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), NOT_WORD_RAW, " "))
+    held = docs.select(F.col(id_col).alias("doc_id"), bare.alias("bare"))
+    count = F.when(F.col("bare") == "", 0).otherwise(_spaces(F.col("bare")) + 1).cast("long")
     gate = reduce(or_, (F.contains(F.col("low"), F.lit(g)) for g in GATE)) if signatures is None else F.lit(True)
-    docs = docs.select("doc_id", count.alias("n_words"), F.when(gate, words).alias("words"))
-    docs = docs.select("doc_id", "n_words", F.when(F.col("words").isNotNull(), _normal(F.col("words"))).alias("normal"))
-    places = {label: _places(F.col("normal"), phrase) for phrase, label in BASE.items()}
-    tried = F.filter(_literal(items), lambda r: F.contains(F.col("normal"), r["keyword"]))
-    spans = F.flatten(F.transform(tried, lambda r: _found(F.col("normal"), r)))
-    held = docs.select("doc_id", "n_words", *[p.alias(f"_{k}") for k, p in places.items()], F.when(F.col("normal").isNotNull(), spans).alias("spans"))
-    none = F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string>>")
-    held = held.select("*", F.coalesce(_standing(F.col("spans")), none).alias("detections"))
-    every = F.concat(*[F.coalesce(F.col(f"_{k}"), F.array().cast("array<int>")) for k in places])
-    base = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"_{k}") > 0, F.lit(k)) for k in places])))
+    held = held.select("doc_id", "bare", count.alias("n_words"), F.concat(F.lit(" "), F.lower("bare"), F.lit(" ")).alias("low"))
+    held = held.select("doc_id", "n_words", F.when((F.col("n_words") > 0) & gate, F.concat(F.lit(" "), F.translate("bare", UPPER, LOWER), F.lit(" "))).alias("normal"))
+    normal, none = F.col("normal"), F.array().cast("array<int>")
+    places = [F.when(F.contains(normal, F.lit(phrase)), _found(_marked(normal, phrase), lambda first, last, hit: first, "int")).otherwise(none).alias(f"_{k}") for phrase, k in BASE.items()]
+    spans = F.when(normal.isNotNull(), _detected(normal, items)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    held = held.select("doc_id", "n_words", *places, spans.alias("spans"))
+    held = held.select("*", _standing(F.col("spans"), tuple(sorted({r.priority for r in items}))).alias("stand"))
+    shown = F.transform("stand", lambda d: F.struct(d["start"].alias("start"), (-d["low"]).alias("end"), (-d["rank"]).alias("priority"), d["rule"].alias("rule"), d["label"].alias("label")))
+    held = held.select("*", shown.alias("detections"))
+    every = F.concat(*[F.col(f"_{k}") for k in BASE.values()])
+    base = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"_{k}") > 0, F.lit(k)) for k in BASE.values()])))
     labels = F.array_sort(F.array_distinct(F.concat(base, F.col("detections.label"))))
     covered = F.aggregate("detections", F.lit(0), lambda a, d: a + d["end"] - d["start"] + 1)
     return held.select(
@@ -190,17 +184,3 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", signat
         F.array_join(base, ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
         F.when(F.col("n_words") > 0, F.pow(F.least(F.lit(1.0), covered / F.col("n_words")), F.lit(0.25))).otherwise(F.lit(0.0)).alias("score"), "detections",
     )
-
-
-def _places(text: Column, phrase: str) -> Column:
-    """Word positions at which the phrase's words stand."""
-    gaps = F.split(text, f"(?<= ){phrase}(?= )", -1)
-    heads = F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0)))
-    own = phrase.count(" ")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-
-    def step(acc: Column, gap: Column) -> Column:
-        at = acc["at"] + _spaces(gap)
-        return F.struct((at + own).alias("at"), F.concat(acc["all"], F.array(at - 1)).alias("all"))
-
-    return F.when(text.isNotNull(), F.aggregate(heads, start, step)["all"])
