@@ -1,10 +1,11 @@
 """Exact dedup by a tree-merge of sorted digest runs.
 
 Each partition turns its texts into one sorted run of digests, copies already
-folded together.  Runs are then exchanged in rounds of a k-nomial tree: in each
+folded together.  Runs are then exchanged in rounds of a binomial tree: in each
 round the runs whose numbers agree after division by ``FAN_IN`` meet, one digest
-range at a time, are merged by Spark's external merge sort and folded again, so
-that the best identifier and the number of copies of every text rise one level.
+range at a time, are merged (by Spark's external sort of what meets, which can't
+take runs as they are) and folded again, so that the best identifier and the number
+of copies of every text rise one level.
 Digest ranges are independent trees, hence no task ever sees more than its
 range, and a group of copies counts as one entry a run.
 
@@ -29,11 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm._joins import join_even
+from orrery.llm._joins import join_even, unused
 from orrery.llm._text import body
 from orrery.storage import in_arrow, stored
 
-FAN_IN = 8
+FAN_IN = 2
 RUNS = 64
 RANGES = 1024
 ENTRY = "span int, run int, digest binary, proof binary, keep_id long, group_size long"
@@ -65,8 +66,10 @@ def _fold(keep_largest: bool):
                 table = pa.concat_tables([wait, table]).combine_chunks()
             if not table.num_rows:
                 continue
-            keys = [f"{s}|{r}|".encode() + d + p for s, r, d, p in zip(*(table[c].to_pylist() for c in ("span", "run", "digest", "proof")), strict=True)]
-            first = np.flatnonzero([True, *(a != b for a, b in zip(keys, keys[1:], strict=False))])
+            # digests and proofs have one size each, so neighbours are compared as rows of bytes
+            keys = [np.frombuffer(b"".join(table[c].to_pylist()), np.uint8).reshape(table.num_rows, -1) for c in ("digest", "proof")]
+            keys += [table[c].to_numpy()[:, None] for c in ("span", "run")]
+            first = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([(k[1:] != k[:-1]).any(axis=1) for k in keys])]))
             ids = table["keep_id"].to_numpy(zero_copy_only=False)
             known = np.ones(len(ids), bool) if table["keep_id"].null_count == 0 else ~np.asarray(table["keep_id"].is_null())
             worst = np.iinfo(np.int64).min if keep_largest else np.iinfo(np.int64).max
@@ -113,7 +116,11 @@ def exact_groups(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
 
 
 def dedup_exact(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = exact_groups(docs, keep, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
-    low = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("_kept_id")) & (low == F.col("_kept_sha")), "left_semi")
+    """The documents that stay, with all their columns, whatever they are called.
+
+    Rows that repeat both id and text stay together.
+    """
+    kept_id, kept_sha = unused(docs, "kept_id"), unused(docs, "kept_sha")
+    kept = exact_groups(docs, keep, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept_id), F.unhex("text_sha256").alias(kept_sha)).distinct()
+    low = F.unhex(F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256))
+    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (low == F.col(kept_sha)), "left_semi")

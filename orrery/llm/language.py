@@ -14,6 +14,9 @@ has one row a piece of the vocabulary).  Scoring is numpy over Arrow batches,
 once for each distinct word of a block.  Words are fit and scored whole; sums of
 words over ``WORD_BYTES`` bytes are rescaled as they go.  Nothing is shuffled.
 
+A text's score is the posterior of its language with the evidence of 12 words at
+most, as neighbouring words aren't independent.
+
 Defined cases: a text that is null or has no letter gets ``und`` and score 0;
 without any labelled text every prediction is ``und``; equal scores go to the
 first language in code point order; empty tables give no rows; other columns are
@@ -44,6 +47,8 @@ RESCALE = 32
 #: Bytes of longer words that are taken at once; a larger word comes alone.
 AT_ONCE = 400_000
 SAMPLE = 400
+#: Bytes of the largest text that may be in the sample.
+MOST_BYTES = 1 << 17
 ROUNDS = 4
 #: Bytes of text scored at once.
 UNIT = 2 << 20
@@ -215,14 +220,15 @@ def sample(labelled: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_i
 
     Ids are ranked within (language, hash bucket) first, so what is ranked within a
     language are at most 512 * ``per_language`` ids, whatever the input; only texts
-    of the chosen are collected.
+    of the chosen are collected, each once, and none of more than ``MOST_BYTES``.
     """
-    mark = F.xxhash64(F.lit("language"), F.col(id_col).cast("string"))
-    ids = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), mark.alias("mark"))
-    near = ids.withColumn("bucket", F.pmod("mark", F.lit(512)))
+    mark = F.xxhash64(F.lit("language"), F.col(id_col).cast("string"), F.col(text_col))
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= MOST_BYTES))
+    rows = known.select(F.col(lang_col).alias("lang"), mark.alias("mark"), body(text_col))
+    near = rows.select("lang", "mark").distinct().withColumn("bucket", F.pmod("mark", F.lit(512)))
     first = near.withColumn("n", F.row_number().over(Window.partitionBy("lang", "bucket").orderBy("mark"))).where(F.col("n") <= per_language)
-    chosen = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("n", "bucket"))).where(F.col("n") <= per_language).select("lang", "mark").distinct()
-    rows = labelled.select(F.col(lang_col).alias("lang"), mark.alias("mark"), body(text_col)).join(F.broadcast(chosen), ["lang", "mark"], "left_semi")
+    chosen = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("n", "bucket"))).where(F.col("n") <= per_language).select("lang", "mark")
+    rows = rows.join(F.broadcast(chosen), ["lang", "mark"], "left_semi").dropDuplicates(["lang", "mark"])
     return sorted((r["lang"], bytes(r["body"])) for r in rows.collect())
 
 

@@ -12,13 +12,14 @@ seeded sample once more: documents in the order of a hash of seed and id, until
 the fraction is used up.  The order is not sorted as a whole: sizes are summed by (source,
 hash bucket), the bucket in which a source's fraction ends is found from those
 sums, and only documents of that bucket are ordered.  A few documents that fit
-close the gap that is left.  No document is taken more
+close the gap that is left, and one that doesn't if the target is then nearer.  No document is taken more
 often than ``max_epochs`` times.
 
 Defined cases: null texts have size 0; the null source is a source (last in
-order); a source whose documents are all empty takes nothing; ids that repeat are
-sampled alike, rows that repeat an id are taken equally often; an empty table gives no rows; other
-columns are ignored by ``mix_rows``, kept by ``mix``.
+order); a source whose documents are all empty takes nothing; rows of a source are
+known by id and text, so rows that repeat both are one document to the sample:
+they are taken equally often; an empty table gives no rows; other columns are ignored by ``mix_rows``,
+kept by ``mix``, whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.llm._joins import unused
 from orrery.storage import stored
 
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -34,8 +36,10 @@ SEED = 17
 BUCKETS = 4096
 #: Documents of a size class that may close a source's gap.
 CANDIDATES = 4
-#: From this many sources on, they are joined by a shuffle instead of a broadcast.
-FEW_SOURCES = 5_000
+#: Rows of a table of sources that are broadcast; the others are joined even if a source is hot.
+MOST_SOURCES = 5_000
+#: Parts in which rows meet the rest of the sources.
+SALT = 64
 
 
 def n_words(text: Column) -> Column:
@@ -62,19 +66,33 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
 
 
 def _join_sources(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
+    """Rows with what ``table`` has for their source: broadcast if it is small, else met in ``SALT`` parts of each source, so that no hot source lies in one task."""
     right = table.withColumnRenamed("source", "_source")
-    return rows.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("_source")), "inner").drop("_source")
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    if few:
+        return rows.join(F.broadcast(right), same, "inner").drop("_source")
+    spread = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "source"]), F.lit(SALT)).cast("int"))
+    return salted.join(spread, same & (F.col("_salt") == F.col("_part")), "inner").drop("_source", "_part", "_salt")
+
+
+def _place(seed: int, id_col: str, text_col: str) -> Column:
+    """A document's place in the order of the sample: a hash of seed, id and text."""
+    return F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(id_col).isNull(), F.coalesce(F.col(text_col), F.lit("")))
 
 
 def mix_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies and taken."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    order = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.when(F.col(id_col).isNull(), text))
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), order.alias("place")), "mix-rows")
+    return _planned(docs, weights, max_epochs, seed, id_col, text_col, source_col).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _planned(docs: DataFrame, weights: tuple[float, ...], max_epochs: int, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """One row per document, with its source and place as well."""
+    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), _place(seed, id_col, text_col).alias("place")), "mix-rows")
     rows = rows.withColumn("bucket", F.pmod(F.col("place"), F.lit(BUCKETS)))
     sums = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-sums")
     sizes = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
-    few = sizes.count() <= FEW_SOURCES
+    few = sizes.count() <= MOST_SOURCES
     plan = targets(sizes, weights, max_epochs)
     # the guard keeps a rounding error from turning a clamped source into a fraction of its documents
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -86,7 +104,7 @@ def mix_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     right = edge.withColumnRenamed("source", "_edge_source")
     plan = stored(plan.join(right, F.col("source").eqNullSafe(F.col("_edge_source")), "left").drop("_edge_source"), "mix-plan")
     placed = _join_sources(rows, plan, few)
-    inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)  # equal rows are taken together
     at_edge = placed.where(F.col("bucket") == F.col("edge")).withColumn("more", (F.sum("size").over(inside) <= F.col("room")).cast("int"))
     others = placed.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn("more", F.when(F.col("edge").isNull(), F.col("extra") > 0).otherwise(F.col("bucket") < F.col("edge")).cast("int"))
     taken = at_edge.unionByName(others).withColumn("copies", F.col("whole") + F.col("more"))
@@ -94,26 +112,37 @@ def mix_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     # what is left of a source's fraction goes to a few documents that fit: of each class of sizes some
     # candidates, largest first, as long as there is room
     used = taken.groupBy("source").agg((F.first("extra") - F.sum((F.col("copies") - F.col("whole")) * F.col("size"))).alias("gap"))
-    fits = _join_sources(taken.where(F.col("copies") == F.col("whole")), used, few).where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & (F.col("copies") < max_epochs))
-    classes = fits.groupBy("source", F.floor(F.log2("size")).alias("class"), F.pmod("place", F.lit(CANDIDATES)).alias("slot")).agg(F.max(F.struct("size", "place")).alias("x"), F.first("gap").alias("gap"))
-    lists = classes.groupBy("source").agg(F.reverse(F.array_sort(F.collect_list("x"))).alias("xs"), F.first("gap").alias("gap"))
+    fits = _join_sources(taken.where(F.col("copies") == F.col("whole")), used, few).where((F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")) & (F.col("copies") < max_epochs))
+    alike = fits.groupBy("source", "place").agg(F.sum("size").alias("size"), F.first("gap").alias("gap")).where(F.col("size") < 2 * F.col("gap"))  # rows that repeat id and text
+    classes = alike.groupBy("source", F.floor(F.log2("size")).alias("class"), F.pmod("place", F.lit(CANDIDATES)).alias("slot")).agg(F.max(F.struct("size", "place")).alias("x"), F.min(F.struct("size", "place")).alias("y"), F.first("gap").alias("gap"))
+    lists = classes.groupBy("source").agg(F.reverse(F.array_sort(F.array_union(F.collect_list("x"), F.collect_list("y")))).alias("xs"), F.first("gap").alias("gap"))
     none = F.array().cast("array<bigint>")
 
     def fill(state: Column, x: Column) -> Column:
         fit = x["size"] <= state["room"]
         return F.struct(F.when(fit, state["room"] - x["size"]).otherwise(state["room"]).alias("room"), F.when(fit, F.concat(state["places"], F.array(x["place"]))).otherwise(state["places"]).alias("places"))
 
-    chosen = F.aggregate("xs", F.struct(F.col("gap").alias("room"), none.alias("places")), fill)["places"]
+    lists = lists.withColumn("held", F.aggregate("xs", F.struct(F.col("gap").alias("room"), none.alias("places")), fill))
+    # one more that is too large for what is left, if the target is then nearer
+    more = F.filter("xs", lambda x: (x["size"] < 2 * F.col("held.room")) & (x["size"] > F.col("held.room")) & ~F.array_contains("held.places", x["place"]))
+    chosen = F.array_compact(F.concat("held.places", F.array(F.array_min(more)["place"])))
     closing = lists.select(F.col("source").alias("_source"), F.explode(chosen).alias("_place"))
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("place") == F.col("_place"))
-    # at most 64 * CANDIDATES rows a source
+    # at most 128 * CANDIDATES rows a source
     final = taken.join(F.broadcast(closing) if few else closing, same, "left")
     final = final.withColumn("copies", F.col("copies") + ((F.col("copies") == F.col("whole")) & F.col("_place").isNotNull()).cast("long"))
-    return final.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return final.select("doc_id", "source", "place", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents, each as many times as the mix takes it."""
-    copies = mix_rows(docs, weights, max_epochs, seed, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies.where("_copies > 0"), F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """The documents, each as many times as the mix takes it, with all their columns.
+
+    Rows find their number by source and place, which equal rows share and no others
+    (but for a clash of 64-bit hashes within a source).
+    """
+    place, source, copies, copy = (unused(docs, c) for c in ("mix_place", "mix_source", "mix_copies", "mix_copy"))
+    plan = _planned(docs, weights, max_epochs, seed, id_col, text_col, source_col).where("copies > 0")
+    plan = plan.groupBy(F.col("source").alias(source), F.col("place").alias(place)).agg(F.max("copies").alias(copies))
+    own = _place(seed, id_col, text_col)
+    joined = docs.join(plan, (own == F.col(place)) & F.col(source_col).cast("string").eqNullSafe(F.col(source)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

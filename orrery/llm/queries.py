@@ -72,5 +72,15 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 FROM d"""
 
 
+OP10 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(LOW, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_distinct([array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)]) END AS g FROM w),
+k AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM s),
+e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM k a JOIN k b ON a.gram = b.gram AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.c)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, min(c) AS component_id FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, g""".replace("LOW", _LOW)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5}
+    return {"op5_exact_dedup": OP5, "op10_ngram_join": OP10}

@@ -33,13 +33,15 @@ from pyspark.sql import functions as F
 
 from orrery.llm._text import body
 from orrery.llm._tokens import encoded, vocabulary
-from orrery.storage import in_arrow, new_path
+from orrery.storage import discard, in_arrow, new_path, stored
 
 # Fixed values of the public seekable zstandard format.
 SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
 INDEX = 0x184D2A50
 LEVEL = 3
+#: Bytes of text that a file holds, about.
+SHARD_BYTES = 256 << 20
 MANIFEST = "shard int, path string, documents long, ids long"
 
 
@@ -50,8 +52,8 @@ def _frames(path: str):
             raw = memoryview(flat.astype("<u4").tobytes())
             parts = [raw[4 * a : 4 * b] for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)]
             yield pa.record_batch(
-                [rows.column("shard"), rows.column("doc_id"), pa.array([pack.compress(p) for p in parts], pa.binary()), pa.array(np.diff(ptr)), pa.array([xxhash.xxh64_intdigest(p) & 0xFFFFFFFF for p in parts], pa.int64())],
-                names=["shard", "doc_id", "frame", "n_tokens", "check"],
+                [rows.column("doc_id"), rows.column("salt"), pa.array([pack.compress(p) for p in parts], pa.binary()), pa.array(np.diff(ptr)), pa.array([xxhash.xxh64_intdigest(p) & 0xFFFFFFFF for p in parts], pa.int64())],
+                names=["doc_id", "salt", "frame", "n_tokens", "check"],
             )
 
     return run
@@ -72,23 +74,16 @@ def _close(out, ids: list[int | None], sizes: list[tuple[int, int, int]]) -> Non
 
 
 def _write(folder: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = _filesystem(folder)
-        shard, out, done = None, None, []
+    """One file of the rows of a partition, numbered as the partition is."""
 
-        def finish() -> None:
-            _close(out, ids, sizes)
-            out.close()
-            final = f"{root}/shard-{shard:06d}.ids.zst"
-            files.move(temp, final)
-            done.append((shard, f"{folder}/shard-{shard:06d}.ids.zst", len(ids), sum(s[1] for s in sizes) // 4))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        files, root = _filesystem(folder)
+        shard, out, ids, sizes = TaskContext.get().partitionId(), None, [], []
         for batch in batches:
             for row in batch.to_pylist():
-                if row["shard"] != shard:
-                    if out is not None:
-                        finish()
-                    shard, ids, sizes = row["shard"], [], []
+                if out is None:
                     temp = f"{root}/_writing-{shard}-{uuid.uuid4().hex}"
                     files.create_dir(root, recursive=True)
                     out = files.open_output_stream(temp)
@@ -96,9 +91,11 @@ def _write(folder: str):
                 ids.append(row["doc_id"])
                 sizes.append((len(row["frame"]), 4 * row["n_tokens"], row["check"]))
         if out is not None:
-            finish()
-        if done:
-            yield pa.record_batch([pa.array(c) for c in zip(*done, strict=True)], names=["shard", "path", "documents", "ids"]).cast(pa.schema([("shard", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]))
+            _close(out, ids, sizes)
+            out.close()
+            name = f"shard-{shard:06d}.ids.zst"
+            files.move(temp, f"{root}/{name}")
+            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(ids)]), pa.array([sum(s[1] for s in sizes) // 4])], names=["shard", "path", "documents", "ids"])
 
     return run
 
@@ -106,20 +103,23 @@ def _write(folder: str):
 def write_token_files(docs: DataFrame, folder: str | None = None, shards: int | None = None, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files (to a new place in the shared folder by default); the manifest has a row per file.
 
-    The manifest's size is the number of files, ``shards`` at most, and so are
-    the range bounds that the driver computes from the doc_id column.
+    There are as many files as leave each about ``SHARD_BYTES`` of text (or
+    ``shards``), in ranges of doc_id and, within an id that many rows repeat, of a hash
+    of the text, so no id has to lie in one file.  The driver holds a row a file.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-files")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col))
-    cuts = sorted(set(keyed.stat.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 1 / (10 * shards)))) if shards > 1 else []
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    shard = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))))
-    frames = keyed.withColumn("shard", shard.cast("int")).transform(in_arrow, _frames(tokenizer or vocabulary()), "shard int, doc_id long, frame binary, n_tokens long, check long")
-    placed = frames.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "check", "n_tokens")
+    frames = keyed.withColumn("salt", F.xxhash64("body")).transform(in_arrow, _frames(tokenizer or vocabulary()), "doc_id long, salt long, frame binary, n_tokens long, check long")
+    frames = stored(frames, "frames")  # ranges are found by a sample, which would tokenise everything twice
+    order = [F.col("doc_id").asc_nulls_first(), "salt", "check", "n_tokens"]
+    placed = frames.repartitionByRange(shards, *order[:2]).sortWithinPartitions(*order)
     rows = placed.transform(in_arrow, _write(folder), MANIFEST).collect()
-    return spark.createDataFrame(rows, MANIFEST)
+    discard(frames)
+    return spark.createDataFrame(sorted(rows), MANIFEST)
 
 
 class TokenFile:

@@ -33,11 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm._joins import unused
 from orrery.llm._text import U64, HashIndex, Words, blocks, body, mix, split_words, take_pieces
 from orrery.storage import in_arrow
 
 WINDOW, STRIDE = 32, 16
 POSITIVES, NEGATIVES = 1000, 2000
+#: Bytes of the largest text that may be in the sample.
+MOST_BYTES = 1 << 18
 WORD_BITS, GRAM_BITS = 18, 16
 WORD_DIM = GRAM_DIM = 6
 HIDDEN, ATTENTION = 8, 8
@@ -398,25 +401,31 @@ def _score(p: Params | None):
     return run
 
 
-def _below(p: Params | None, threshold: float):
+def _below(p: Params | None, threshold: float, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(p) if p is not None else None
-        for rows, data, bounds in blocks(batches, UNIT, "_body"):
+        for rows, data, bounds in blocks(batches, UNIT, column):
             score, _ = _block_scores(p, known, data, bounds)
-            yield rows.filter(pa.array(score < threshold)).drop_columns(["_body"])
+            yield rows.filter(pa.array(score < threshold)).drop_columns([column])
 
     return run
 
 
 def sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The bounded training sample: body and label of at most ``positives`` + ``negatives`` ids, by a hash of the id."""
+    """The bounded training sample: body and label of at most ``positives`` + ``negatives`` texts, by a hash of the id.
+
+    Of rows that repeat an id one is taken (the text with the smallest hash).  Longer
+    texts than ``MOST_BYTES`` are left out of the sample, not of the scores.
+    """
     mark = F.xxhash64(F.lit("toxicity"), F.col("_id").cast("string"))
     known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
-    known = docs.select(F.col(id_col).alias("_id")).distinct().join(known, "_id")
+    short = docs.where(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= MOST_BYTES)
+    known = short.select(F.col(id_col).alias("_id")).distinct().join(known, "_id")
     few = [known.where(F.col("_toxic") == y).withColumn("_mark", mark).orderBy("_mark", "_id").limit(n) for y, n in ((1, positives), (0, negatives))]
     chosen = few[0].unionByName(few[1]).select("_id", "_toxic")
-    rows = docs.select(F.col(id_col).alias("_id"), body(text_col))
-    return rows.join(F.broadcast(chosen), "_id").select(F.col("_id").cast("long").alias("doc_id"), "body", F.col("_toxic").cast("int").alias("label"))
+    rows = short.select(F.col(id_col).alias("_id"), body(text_col))
+    rows = rows.join(F.broadcast(chosen), "_id").groupBy("_id", "_toxic").agg(F.min_by("body", F.xxhash64("body")).alias("body"))
+    return rows.select(F.col("_id").cast("long").alias("doc_id"), "body", F.col("_toxic").cast("int").alias("label"))
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,5 +446,6 @@ def score(docs: DataFrame, p: Params | None, id_col: str = "doc_id", text_col: s
 
 
 def drop_toxic(docs: DataFrame, p: Params | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows that score below ``threshold``, with all their columns, in the pass that scores them."""
-    return docs.withColumn("_body", body(text_col)).transform(in_arrow, _below(p, threshold), docs.schema)
+    """The rows that score below ``threshold``, with all their columns, whatever they are called, in the pass that scores them."""
+    column = unused(docs, "body")
+    return docs.withColumn(column, body(text_col).alias(column)).transform(in_arrow, _below(p, threshold, column), docs.schema)
