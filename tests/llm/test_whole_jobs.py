@@ -123,3 +123,92 @@ def test_shortened_gpl_notice_is_found(spark):
     assert all(rule.keyword in rule.pattern for rule in licenses.rules())
     df = spark.createDataFrame([(1, "X11 license"), (2, "licensed under expat"), (3, "ASF 2.0")], "doc_id long, text string")
     assert all(r["labels"] for r in licenses.scan(df).collect())
+
+
+def test_all_links_are_found_and_counted(spark):
+    """The whole join: links between classes of equal sets, and links per document, copies counted."""
+    from orrery.llm import ngram_join
+
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(40):  # near copies of one text, each with edits of its own
+        t = list(base)
+        for k in rng.integers(0, 60, rng.integers(0, 4)):
+            t[k] = f"x{rng.integers(0, 6)}"
+        texts.append(" ".join(t))
+    texts += [texts[0], texts[3].upper(), "", None, "short one", "Short  one", *(" ".join(str(x) for x in rng.integers(0, 40, 30)) for _ in range(10))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} - {()})
+    near = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    links, members = ngram_join.similarity_links(df)
+    members = {r["doc_id"]: r for r in members.collect()}
+    degree = Counter(x for pair in near for x in pair)
+    assert {i: r["n_links"] for i, r in members.items()} == {i: degree[i] for i in range(len(sets))}
+    rep = {i: r["rep"] for i, r in members.items()}
+    assert {(r["a"], r["b"]) for r in links.collect()} == {(min(rep[a], rep[b]), max(rep[a], rep[b])) for a, b in near if rep[a] != rep[b]}
+    groups = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_groups(df).collect()}
+    for a, b in near:
+        assert groups[a] == groups[b]
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_groups_do_not_hang_on_leaders(spark, monkeypatch, rounds):
+    """With few or no leader rounds the last round alone finds the same groups."""
+    from orrery.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "HEADS", 1)
+    rng = np.random.default_rng(9)
+    common = [f"c{i}" for i in range(40)]
+    texts = [" ".join([*common, *(f"t{rng.integers(0, 3)}{j}" for j in range(4))]) for _ in range(30)] + [" ".join([*common[:20], *(f"u{rng.integers(0, 99)}" for _ in range(20))]) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_groups(df).collect()}
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_groups(df).collect()} == want
+    assert len(set(want.values())) < len(want)
+
+
+def test_scores_by_a_plain_loop():
+    """One window's logit, word by word and gate by gate."""
+    rng = np.random.default_rng(10)
+    p = toxicity._fresh(rng)
+    dim, h = toxicity.WORD_DIM + toxicity.GRAM_DIM + 1, toxicity.HIDDEN
+    vectors = np.vstack([rng.standard_normal((7, dim)), np.zeros((1, dim))]).astype(np.float32)
+    tokens = np.array([[3, 0, 6, 2, 2, 7, 7, 7]])
+    logit = lambda x: 1 / (1 + np.exp(-x))
+
+    def run(w, u, b, order):
+        state, out = np.zeros(h), {}
+        for t in order:
+            x, s = vectors[tokens[0, t]] @ p[w] + p[b], state @ p[u]
+            z, r = logit(x[:h] + s[:h]), logit(x[h : 2 * h] + s[h : 2 * h])
+            state = (1 - z) * np.tanh(x[2 * h :] + r * s[2 * h :]) + z * state
+            out[t] = state
+        return out
+
+    ahead, behind = run("wf", "uf", "bf", range(5)), run("wb", "ub", "bb", range(4, -1, -1))
+    states = [np.concatenate([ahead[t], behind[t]]) for t in range(5)]
+    weight = np.exp([np.tanh(s @ p["a"]) @ p["v"] for s in states])
+    want = sum(w * s for w, s in zip(weight / weight.sum(), states, strict=True)) @ p["w"] + p["b"][0]
+    assert toxicity.forward(p, vectors, tokens)[0][0] == pytest.approx(want, abs=1e-5)
+
+
+def test_many_sources_give_the_same_mix(spark, monkeypatch):
+    from orrery.llm import mixing
+
+    df = spark.createDataFrame([(i, "a b c " * (i % 9), "hot" if i % 3 else f"s{i % 7}") for i in range(300)], "doc_id long, text string, source string")
+    rows = lambda: sorted(tuple(r) for r in mixing.mix_rows(df).collect())
+    want = rows()
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 0)
+    assert rows() == want
+
+
+def test_one_id_may_lie_in_many_files(spark, tmp_path):
+    from orrery.llm import token_files
+
+    df = spark.createDataFrame([(7, f"text number {i}") for i in range(400)], "doc_id long, text string")
+    manifest = token_files.write_token_files(df, shards=5)
+    assert manifest.count() > 1 and token_files.read_token_files(manifest).count() == 400
