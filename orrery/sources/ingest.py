@@ -156,7 +156,7 @@ class Store:
 
     @staticmethod
     def _groups(todo: DataFrame, at_once: int) -> Iterator[list]:
-        rows = todo.toLocalIterator()
+        rows = todo.orderBy("fname", "part", "start").toLocalIterator()
         while group := list(islice(rows, at_once)):
             yield group
 

@@ -188,3 +188,65 @@ def test_stream_replays(spark, tmp_path):
     spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string").write.mode("append").parquet(src)
     upsert_stream(read(), out, ["k"], str(tmp_path / "cp")).awaitTermination(60)
     assert {r["k"]: r["v"] for r in current(spark, out).collect()} == {1: "a", 2: "c", 3: "d"}
+
+
+def test_store_of_several_entities(spark, tmp_path):
+    """One file gives entities and edges, an interval at a time; a second reader sees it too, and a store goes on where it broke off."""
+    from pyspark.sql import functions as F
+
+    (tmp_path / "run.csv").write_text("k,parent,v\n" + "".join(f"{i},{i % 3},{i * 10}\n" for i in range(10)))
+    files = fs.discover(spark, str(tmp_path), r".*\.csv")
+    calls = []
+
+    def read(s, steps):
+        calls.append(sorted((r["start"], r["end"]) for r in steps.collect()))
+        if len(calls) == 2:
+            raise OSError("broken off")
+        rows = s.read.csv(steps.first()["path"], header=True, schema="k int, parent int, v int")
+        rows = rows.join(steps.select("start", "end"), F.col("k").between(F.col("start"), F.col("end")), "left_semi")
+        return {"Child": rows.select("k", "v"), "Parent": rows.select("parent").distinct(), "link": rows.select(F.col("parent").alias("src"), F.col("k").alias("dst"))}
+
+    identity = {"Child": ("k",), "Parent": ("parent",), "link": ("src", "dst")}
+    reader = Reader("runs", read, identity, size=4, length=lambda f: f.select("fname", F.lit(10).alias("n")))
+    store = Store(spark, str(tmp_path / "store"))
+    with pytest.raises(OSError):
+        store.write(files, [reader], at_once=1)
+    again = Store(spark, str(tmp_path / "store"))
+    assert again.frames["Child"].count() == 4
+    stats = again.write(files, [reader], at_once=1).first()
+    assert stats["rows"] == 6 + 3 + 2 + 6  # children, parents of each interval, links
+    assert again.frames["Child"].count() == 10 and again.frames["Parent"].count() == 3 and again.frames["link"].count() == 10
+    assert calls == [[(0, 3)], [(4, 7)], [(4, 7)], [(8, 9)]]
+    other = Reader("Other", lambda s, paths: s.read.csv(paths, header=True, schema="k int, parent int, v int").select("k"), ("k",))
+    assert again.write(files, [other]).first()["files"] == 1  # a file is new to every reader
+    assert again.write(files, [other, reader]).agg(F.sum("files")).first()[0] == 0
+    at = again.frames["Child"].agg(F.min("_dbcreated")).first()[0]
+    again.restore_state(at)
+    assert Store(spark, str(tmp_path / "store")).frames["Child"].count() == 4
+    with pytest.raises(Exception, match="same name"):
+        again.write(files.unionByName(files), [other])
+
+
+def test_fused_aggregates_take_one_grouping(data):
+    from orrery import functions as fn
+
+    c = data.customers
+    p = c.orders.o_totalprice
+    df = c[["c_custkey", {"lo": fn.min(p, wrt=c)}, {"hi": fn.max(p, wrt=c)}, {"mean": fn.mean(p, wrt=c)}, {"n": fn.count(c.orders, wrt=c)}]].to_df()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") <= 1
+    mixed = c[["c_custkey", {"r": fn.sum(p / c.c_acctbal, wrt=c)}]].to_df()  # needs the parent's column
+    assert mixed.count() == data.customers.c_custkey.to_df().count()
+
+
+def test_unknown_columns_and_wide_lists(data, monkeypatch):
+    from orrery.errors import AttributeNameError, DisjointPathError
+    from orrery.operators import tables
+
+    t = data.customers[["c_custkey", "c_name"]]
+    with pytest.raises(AttributeNameError, match="c_name"):
+        t["c_nam"]
+    assert data.customers[["c_custkey", "c_custkey", {"c_custkey0": "c_name"}]].names() == ["c_custkey1", "c_custkey2", "c_custkey0"]
+    monkeypatch.setattr(tables, "WIDEST_LIST", 5)
+    with pytest.raises(DisjointPathError):
+        data.regions[["r_name", {"all": data.nations.n_name}]].to_df()
