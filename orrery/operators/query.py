@@ -90,17 +90,33 @@ class Node:
         return self.extend(self.parent.frame if self.parent else None)
 
     def bare_frame(self, top: Node | None) -> DataFrame | None:
-        """Rows with the identity of ``top`` but without its other columns: no join with ``top``'s rows.
+        """Rows with the identity of ``top`` but without its other columns or ancestors: no join with their rows.
 
-        Rows whose parent isn't there belong to no row of ``top``, so they are lost when joined back.
+        What lies below an object depends on the object alone, however it was come by.
+        Rows whose parent isn't there belong to no row of ``top``, so they are lost when
+        joined back.  None where masks above would be left out.
         """
-        if top is None or top.parent is not None or len(self.chain) < 2 or self.chain[0].key != top.key or self.chain[1].rooted is None:
+        if top is None or not all(n.moves for n in top.chain):
             return None
-        df = self.chain[1].rooted()
-        for n in self.chain[2:]:
+        at = next((i for i, n in enumerate(self.chain) if n.key == top.key), None)
+        if at is None or at + 1 >= len(self.chain) or self.chain[at + 1].rooted is None:
+            return None
+        df = self.chain[at + 1].rooted()
+        for n in self.chain[at + 2 :]:
             df = n.extend(df)
         return df
 
+    def rows_below(self, top: Node | None, make: Callable[[DataFrame, list[str]], DataFrame]) -> tuple[DataFrame, list[str]]:
+        """What ``make`` makes of this node's rows and the columns that tell their object of ``top``; bare rows if they do."""
+        ids = top.lineage if top else []
+        try:
+            bare = self.bare_frame(top)
+            if bare is not None:
+                return make(bare, [top.id]), [top.id]
+        except AnalysisException:  # a value or a filter takes other columns of top, or of what is above it
+            pass
+        return make(self.frame, ids), ids
+
     def outer_frame(self, top: Node | None) -> DataFrame:
         """Rows of ``top``, with nulls where what is below doesn't exist or is masked."""
         df = top.frame if top else None
@@ -167,7 +183,7 @@ def _rooted(data, parent: Node, path: list[Hop], entity: str, tag: str) -> Calla
     """Along a path that begins with rows that hold the parent's identity, without the parent's rows."""
     hop, last = path[0], len(path) == 1
     r, identity = hop.relation, data.registry.entities[parent.entity].identity
-    if parent.parent is not None or hop.up or r.edges is not None or len(identity) != 1 or r.parent != parent.entity or tuple(r.parent_columns or identity) != tuple(identity):
+    if hop.up or r.edges is not None or len(identity) != 1 or r.parent != parent.entity or tuple(r.parent_columns or identity) != tuple(identity):
         return None
     right = tag if last else f"{tag}v0"
 
@@ -240,27 +256,22 @@ class Aggregate:
         return (self.item.node.key if self.item.node else None, self.wrt.key if self.wrt else None, self.nulls)
 
 
-def _grouped(members: list[Aggregate]) -> DataFrame:
-    """Aggregates of the same rows, in one grouping."""
+def _grouped(members: list[Aggregate]) -> tuple[DataFrame, list[str]]:
+    """Aggregates of the same rows in one grouping, and the columns that it is grouped by."""
     node, top = members[0].item.node, members[0].wrt
 
-    def made(rows: DataFrame | None) -> DataFrame:
+    def made(rows: DataFrame | None, ids: list[str]) -> DataFrame:
         for m in members:
             rows = m.item.on(m.item.frame() if rows is None else rows, node)
         values = [m.make(m.item.column).alias(m.name) for m in members]
-        return rows.agg(*values) if top is None else rows.groupBy(*top.lineage).agg(*values)
+        return rows.agg(*values) if top is None else rows.groupBy(*ids).agg(*values)
 
     if node is None:
-        return made(None)
+        return made(None, []), []
     if members[0].nulls:
-        return made(node.outer_frame(top))
-    try:
-        bare = node.bare_frame(top)
-        if bare is not None:
-            return made(bare)
-    except AnalysisException:  # a value or a filter takes other columns of wrt
-        pass
-    return made(node.frame)
+        ids = top.lineage if top else []
+        return made(node.outer_frame(top), ids), ids
+    return node.rows_below(top, made)
 
 
 def attach(df: DataFrame, base: Node | None, needs: Iterable) -> DataFrame:
@@ -276,11 +287,11 @@ def attach(df: DataFrame, base: Node | None, needs: Iterable) -> DataFrame:
         if isinstance(need, Aggregate) and need.name not in df.columns:
             together.setdefault(need.rows, {})[need.name] = need
     for members in together.values():
-        own, top = _grouped(list(members.values())), next(iter(members.values())).wrt
-        if top is None:
+        own, ids = _grouped(list(members.values()))
+        if not ids:
             df = df.crossJoin(F.broadcast(own))  # one row
             continue
-        df = join_lineage(df, own, top.lineage, "left")
+        df = join_lineage(df, own, ids, "left")
         fills = {m.name: m.fill if isinstance(m.fill, Column) else F.lit(m.fill) for m in members.values() if m.fill is not None}
         df = df.withColumns({name: F.coalesce(F.col(name), fill) for name, fill in fills.items()}) if fills else df
     return df
@@ -493,8 +504,8 @@ class ObjectQuery(Query):
             have = df.columns
             if semi and not outer:
                 below, wrt, how = semi
-                rows = below.bare_frame(wrt)
-                return join_lineage(df, (below.frame if rows is None else rows).select(*wrt.lineage), wrt.lineage, how).select(*have)
+                rows, ids = below.rows_below(wrt, lambda rows, ids: rows.select(*ids))
+                return join_lineage(df, rows, ids, how).select(*have)
             held = e.on(df if e.node is None or e.node.id in df.columns else _reach(df, node, e.node), node)
             if not outer:
                 return held.where(e.column).select(*have)

@@ -106,19 +106,22 @@ class Table(Query):
         for key, members in lists.items():
             node = members[0][1].node
             shared = next((a for a in reversed(own.chain) if node.under(a)), None)
-            rows = node.frame
-            for _, e in members:
-                rows = e.on(rows, node)
             column = "l" + _tag(key)
             ids = [c for c in node.lineage if shared is None or c not in shared.lineage]
-            struct = F.struct(*[F.col(c).alias(f"i{i}") for i, c in enumerate(ids)], *[e.column.alias(f"c{i}") for i, (_, e) in enumerate(members)])
-            packed = F.array_sort(F.collect_list(struct)).alias(column)
+
+            def packed(rows: DataFrame, by: list[str], node=node, members=members, column=column, ids=ids) -> DataFrame:
+                for _, e in members:
+                    rows = e.on(rows, node)
+                struct = F.struct(*[F.col(c).alias(f"i{i}") for i, c in enumerate(ids)], *[e.column.alias(f"c{i}") for i, (_, e) in enumerate(members)])
+                return rows.groupBy(*by).agg(F.array_sort(F.collect_list(struct)).alias(column))
+
             if shared is None:
-                if rows.limit(WIDEST_LIST + 1).count() > WIDEST_LIST:
+                if node.frame.limit(WIDEST_LIST + 1).count() > WIDEST_LIST:
                     raise DisjointPathError(f"{', '.join(name for name, _ in members)} has nothing to do with the rows and more than {WIDEST_LIST} values: join it by a key, or aggregate it")
-                df = df.crossJoin(F.broadcast(rows.agg(packed)))  # one row
+                df = df.crossJoin(F.broadcast(packed(node.frame, [])))  # one row
             else:
-                df = join_lineage(df, rows.groupBy(*shared.lineage).agg(packed), shared.lineage, "left")
+                own_rows, by = node.rows_below(shared, packed)
+                df = join_lineage(df, own_rows, by, "left")
             for i, (name, e) in enumerate(members):
                 values = F.col(f"{column}.c{i}")
                 held[name] = F.coalesce(values, F.array().cast(f"array<{e.type.simpleString()}>"))
