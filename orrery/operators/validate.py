@@ -29,6 +29,13 @@ def relation(data, r: Relation) -> DataFrame:
     return n.where((F.col("n") < r.minimum) | (F.col("n") > r.maximum))
 
 
+def reflected(data, r: Relation) -> DataFrame:
+    """Parents of a declared relation with too few or too many children (``n``); one to one allows one."""
+    low, high = r.children
+    keys = list(r.parent_columns or data.registry.entities[r.parent].identity)
+    return cardinality(data.frame(r.parent), data.frame(r.child), keys, list(r.columns), low, 1 if r.one2one else high)
+
+
 def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
     """Keys that occur more than once, and how often."""
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
@@ -65,13 +72,35 @@ def absent_files(wanted: DataFrame, stored: DataFrame, key: str = "fname") -> Da
     return wanted.join(stored.select(key).distinct(), key, "left_anti")
 
 
-def report(data) -> DataFrame:
-    """One row per declared entity and relation: what was checked and how many rows offend."""
+def _line(found: DataFrame, check: str, name: str) -> DataFrame:
+    return found.agg(F.count("*").alias("offending")).select(F.lit(check).alias("check"), F.lit(name).alias("name"), "offending")
+
+
+def report(data, wanted: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """One row per check of every declared entity and relation: what was checked and how many rows offend.
+
+    With frames of ``wanted`` and ``stored`` files (fname) also those that are absent,
+    and with stamps of creation in the stored files the objects that no file made.
+    """
     parts = []
     for e in data.registry.entities.values():
         if not e.template:
-            parts.append(unique_identity(data.frame(e.name), list(e.identity)).agg(F.count("*").alias("offending")).select(F.lit("identity").alias("check"), F.lit(e.name).alias("name"), "offending"))
+            parts.append(_line(unique_identity(data.frame(e.name), list(e.identity)), "identity", e.name))
+            if stored is not None and "_dbcreated" in stored.columns and "_dbcreated" in data.frame(e.name).columns:
+                parts.append(_line(without_file(data.frame(e.name), stored), "without file", e.name))
     for r in data.registry.relations:
-        if r.columns and data.registry.entities[r.child].identity:
-            parts.append(relation(data, r).agg(F.count("*").alias("offending")).select(F.lit("relation").alias("check"), F.lit(f"{r.child} -> {r.parent}").alias("name"), "offending"))
+        name = f"{r.child} -> {r.parent}" + f" ({r.name})" * bool(r.name)
+        if r.edges is not None:
+            edges = r.edges(data)
+            parts.append(_line(duplicate_edges(edges), "duplicate edges", name))
+            if r.ordered and r.ordered in edges.columns:
+                parts.append(_line(edges_differing_by_order(edges, r.ordered), "edges by order", name))
+        elif r.columns and data.registry.entities[r.child].identity:
+            parts.append(_line(relation(data, r), "relation", name))
+            if (r.one2one or r.children != (0, None)) and not data.registry.entities[r.parent].template:
+                parts.append(_line(reflected(data, r), "reflected", name))
+            if r.ordered:
+                parts.append(_line(duplicates(data.frame(r.child), [*r.columns, r.ordered]), "order", name))
+    if wanted is not None and stored is not None:
+        parts.append(_line(absent_files(wanted, stored), "absent files", "all"))
     return reduce(DataFrame.unionByName, parts)

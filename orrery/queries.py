@@ -877,6 +877,11 @@ def validation_report(data):
     return check.report(data).where("check = 'identity' and name in ('Customer', 'Order', 'Part')")
 
 
+@query("SELECT n_nationkey, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey HAVING count(s_suppkey) > 1")
+def validate_one2one(data):
+    return check.reflected(data, Relation("Nation", "Supplier", ("s_nationkey",), one2one=True))
+
+
 @query("SELECT 'identity' AS kind, unnest(['Order', 'Part']) AS name, unnest(['o_orderkey', 'p_partkey']) AS columns")
 def constraint_list(data):
     return constraints(data).where("kind = 'identity' and name in ('Order', 'Part')").select("kind", "name", "columns")

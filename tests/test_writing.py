@@ -140,6 +140,9 @@ def test_validator(spark, sf):
     data = open_dataset(spark, sf)
     found = {(r["check"], r["name"]): r["offending"] for r in check.report(data).collect()}
     assert found["identity", "Customer"] == 0 and found["relation", "Order -> Customer"] == 0
+    assert found["reflected", "Label -> Document"] == 0 and found["order", "Turn -> Conversation"] == 0 and found["duplicate edges", "Event -> Event (next_event)"] == 0
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "fname string")
+    assert check.report(data, names("f", "g"), names("f")).where("check = 'absent files'").first()["offending"] == 1
     objects, files = spark.createDataFrame([(1, 5), (2, 6)], "k int, _dbcreated int"), spark.createDataFrame([("f", 5)], "fname string, _dbcreated int")
     assert [r["k"] for r in check.without_file(objects, files).collect()] == [2]
     assert check.absent_files(spark.createDataFrame([("f",), ("g",)], "fname string"), files).first()["fname"] == "g"
