@@ -46,7 +46,7 @@ SIGNATURES = r"""
 4 gpl-2.0-or-later redistribute it and or modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation either version 2 of the licen[cs]e or at your option any later version
 4 gpl-3.0-or-later redistribute it and or modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation either version 3 of the licen[cs]e or at your option any later version
 4 gpl redistribute it and or modify it under the terms of the gnu general public licen[cs]e
-4 gnu redistribute it and or modify it under the terms of the gnu
+4 gpl redistribute it and or modify it under the terms of the gnu
 4 gpl you should have received a copy of the gnu general public licen[cs]e
 4 gpl see the gnu general public licen[cs]e for more details
 3 gpl-2.0-classpath-exception (?:gnu )?(?:gpl|general public licen[cs]e)(?: version| v)? ?2(?: 0)? with (?:the )?classpath exception
