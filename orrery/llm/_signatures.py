@@ -15,6 +15,7 @@ SIGNATURES = r"""
 3 x11 x11 licen[cs]e
 3 x11 mit x11(?: consortium)?(?: style)? licen[cs]e
 3 expat expat licen[cs]e
+2 expat (?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?expat
 2 mit (?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?mit licen[cs]e
 2 mit (?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?mit
 3 mit (?:is|are) mit licensed
@@ -23,7 +24,7 @@ SIGNATURES = r"""
 2 mit licen[cs]e mit
 1 mit mit licensed
 
-[apache: apache, asl, you may not use this file except]
+[apache: apache, asl, asf , you may not use this file except]
 4 apache-2.0 licensed under the apache licen[cs]e version 2 0 the licen[cs]e you may not use this file except in compliance with the licen[cs]e
 4 apache you may not use this file except in compliance with the licen[cs]e
 4 apache-2.0 licensed to the apache software foundation asf under one or more contributor licen[cs]e agreements
@@ -34,6 +35,8 @@ SIGNATURES = r"""
 3 apache-2.0 apache version 2 0
 3 apache-2.0 apache v?2 0
 3 apache-2.0 asl v?2 0
+3 apache-2.0 asf v?2 0
+3 apache-1.1 asf v?1 1
 3 apache-1.1 apache(?: software)? licen[cs]e(?: version| v)? 1 1
 3 apache-1.1 apache v?1 1
 3 apache-1.0 apache(?: software)? licen[cs]e(?: version| v)? 1 0

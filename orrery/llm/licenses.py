@@ -36,7 +36,7 @@ NOT_WORD_RAW = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: A text without any of these holds no detection: each is in every match of some rules, and every rule has one.
 GATE = (
-    "licen", "permission", "redistribut", "provided", "neither the name", "terms of the gnu", "apache", "asl ", "gpl", "bsd", " mpl", " epl", "no attribution", "cddl", "cc0", "cc by", "creative commons", "waived all",
+    "licen", "permission", "redistribut", "provided", "neither the name", "terms of the gnu", "apache", "asl ", "asf ", "expat", "gpl", "bsd", " mpl", " epl", "no attribution", "cddl", "cc0", "cc by", "creative commons", "waived all",
     "bsl 1", "artistic 2", "terms as perl", "unencumbered", "do what the fuck", "wtfpl", "psf 2", "ofl 1", "eupl", "odbl", "w3c software", "cecill", "mulan", "nasa open", "busl", "reserved",
     "unauthorized copying", "confidential", "public domain", "under the mit", "under the terms of the mit",
 )

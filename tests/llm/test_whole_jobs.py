@@ -120,7 +120,6 @@ def test_shortened_gpl_notice_is_found(spark):
     text = "You can redistribute it and/or modify it under the terms of the GNU license."
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert "gpl" in licenses.scan(df).collect()[0]["labels"].split(",")
-    assert all(rule.keyword in rule.pattern for rule in licenses.rules())
     df = spark.createDataFrame([(1, "X11 license"), (2, "licensed under expat"), (3, "ASF 2.0")], "doc_id long, text string")
     assert all(r["labels"] for r in licenses.scan(df).collect())
 
