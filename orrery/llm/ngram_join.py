@@ -51,8 +51,8 @@ RANGES = 128
 MOST_BITS = 27
 ROUNDS = 2
 HEADS = 32
-#: Hash ranges in which runs are merged, and the n-grams of a run.
-SPANS, RUN = 1 << 12, 3_000_000
+#: N-grams of a run: what a task holds before it passes them on to the 4096 hash ranges.
+RUN = 1_000_000
 SETS = "doc_id long, n_shingles long, key binary, first int, prefix array<long>, spread binary"
 
 
