@@ -286,7 +286,10 @@ def child_vs_parent_agg(data):
 def mixed_level(data):
     c = data.customers
     rich = c[c.c_acctbal != 0]
-    return rich[["c_custkey", {"ratio": fn.round(fn.sum(rich.orders.o_totalprice, wrt=rich) / rich.c_acctbal, 4)}]]
+    price = rich.orders.o_totalprice
+    total = fn.switch(fn.count(price, wrt=rich) > 0, fn.sum(price, wrt=rich))  # null where no price is known, as in SQL
+    buyers = rich[fn.exists(rich.orders, wrt=rich)]  # the inner join's customers
+    return buyers[["c_custkey", {"ratio": fn.round(total / rich.c_acctbal, 4)}]]
 
 
 @query("SELECT c_custkey, count(DISTINCT o_orderpriority) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
