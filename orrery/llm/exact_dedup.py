@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm._joins import join_even, unused
 from orrery.llm._text import body
-from orrery.storage import in_arrow, stored
+from orrery.storage import in_arrow, release, stored
 
 FAN_IN = 2
 RUNS = 64
@@ -108,7 +108,9 @@ def exact_groups(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
     ``keep`` is ``largest`` or ``smallest``: the id that stays of equal texts.
     """
     marks = stored(digests(docs, id_col, text_col), "digests")
+    release(docs.sparkSession)  # the plan of the rounds is large: the driver starts it, and goes on, without garbage
     groups = stored(merge_runs(marks, keep), "groups")
+    release(docs.sparkSession)
     total = marks.count()
     key = F.concat("digest", "proof").alias("key")
     joined = join_even(marks.select("doc_id", "digest", key), groups.select(key, "keep_id", "group_size"), "key", "group_size", total)

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm._joins import join_even, unused
 from orrery.llm._text import U64, Words, blocks, body, mix, split_words
-from orrery.storage import discard, in_arrow, stored
+from orrery.storage import discard, in_arrow, release, stored
 
 SKETCH_BITS = 20
 RANGES = 128
@@ -361,6 +361,7 @@ def _posted(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     partner = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100 - 1e-9))
     useful = F.col("n") - F.col("at") >= F.ceil(percent * (F.col("n") + partner) / (100 + percent) - 1e-9)
     posts = stored(posts.join(shared.hint("shuffle_merge"), "gram").where(useful).select("gram", "doc_id", "n", "at"), "posts")
+    release(docs.sparkSession)
     return Posted(texts, sets, classes, one.select("doc_id", "n", "spread"), posts)
 
 
@@ -421,6 +422,7 @@ def similarity_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: st
         known = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = components(known)
         posts = posts.drop("label")
+        release(docs.sparkSession)  # each round leaves some ten plans to the driver
     final = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "members", F.coalesce("label", "rep").alias("component_id"))
     members = join_even(sets.where("n_shingles > 0").select("doc_id", "n_shingles", "key"), final, "key", "members", total)
     alone = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm._joins import unused
 from orrery.llm._text import U64, HashIndex, Words, blocks, body, mix, split_words, take_pieces
-from orrery.storage import in_arrow
+from orrery.storage import in_arrow, release
 
 WINDOW, STRIDE = 32, 16
 POSITIVES, NEGATIVES = 1000, 2000
@@ -56,6 +56,8 @@ UNIT = 2 << 20
 #: Small samples are gone through more often, to make this many steps.
 LEAST_STEPS = 240
 SEED = 11
+#: Bytes of a row of the trained model, and partitions that these rows come in: the driver never needs one large array.
+MODEL_PIECE, MODEL_PARTS = 1 << 18, 16
 THRESHOLD = 0.3
 Params = dict[str, np.ndarray]
 
@@ -431,13 +433,18 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negat
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [r for batch in batches for r in batch.to_pylist()]
     rows.sort(key=lambda r: (r["doc_id"], r["body"]))
-    yield pa.record_batch([pa.array([pickle.dumps(train([(r["body"], r["label"]) for r in rows]))], pa.binary())], names=["model"])
+    model = pickle.dumps(train([(r["body"], r["label"]) for r in rows]))
+    for at in range(0, len(model), MODEL_PIECE):
+        yield pa.record_batch([pa.array([at]), pa.array([model[at : at + MODEL_PIECE]], pa.binary())], names=["at", "model"])
 
 
 def fit(training: DataFrame) -> Params | None:
     """Train on a bounded sample, in one task, so that the driver holds the parameters only."""
-    found = training.repartition(1).transform(in_arrow, _fit, "model binary").collect()
-    return pickle.loads(bytes(found[0]["model"])) if found else None
+    found = training.repartition(1).transform(in_arrow, _fit, "at long, model binary").repartition(MODEL_PARTS).collect()
+    model = pickle.loads(b"".join(bytes(r["model"]) for r in sorted(found, key=lambda r: r["at"]))) if found else None
+    del found
+    release(training.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, p: Params | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

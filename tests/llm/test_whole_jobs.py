@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +212,14 @@ def test_one_id_may_lie_in_many_files(spark, tmp_path):
     df = spark.createDataFrame([(7, f"text number {i}") for i in range(400)], "doc_id long, text string")
     manifest = token_files.write_token_files(df, shards=5)
     assert manifest.count() > 1 and token_files.read_token_files(manifest).count() == 400
+
+
+def test_model_comes_in_small_rows(spark):
+    """The driver gets the trained network in rows of a bounded size, spread over partitions, and whole."""
+    texts = [(i, f"{'vile awful' if i % 2 else 'kind gentle'} word{i} and more{i * 7} of it{i * 3}".encode(), i % 2) for i in range(40)]
+    rows = [pa.record_batch([pa.array([t[0] for t in texts]), pa.array([t[1] for t in texts], pa.binary()), pa.array([t[2] for t in texts])], names=["doc_id", "body", "label"])]
+    pieces = [(b["at"][0].as_py(), b["model"][0].as_py()) for b in toxicity._fit(iter(rows))]
+    assert len(pieces) > 8 and max(len(m) for _, m in pieces) <= toxicity.MODEL_PIECE
+    want = toxicity.train([(t[1], t[2]) for t in texts])
+    got = toxicity.fit(spark.createDataFrame(texts, "doc_id long, body binary, label int"))
+    assert got.keys() == want.keys() and all(np.array_equal(got[k], want[k]) for k in want)
