@@ -20,8 +20,8 @@ from orrery.llm._text import LOWER, SPACE, HashIndex, blocks, hash_spans, take_p
 END = 2
 #: Parts kept with their ids in a worker; when more are known, it starts anew.
 KEPT_PARTS = 600_000
-#: Bytes of text encoded at once.
-TEXT_BLOCK = 3 << 20
+#: Bytes of text encoded at once; working memory is many times as much.
+TEXT_BLOCK = 1 << 20
 
 
 def _byte_letters() -> dict[int, str]:

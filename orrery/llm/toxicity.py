@@ -26,7 +26,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,7 +136,10 @@ def windows(per_text: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarr
     owner = np.repeat(np.arange(len(per_text)), count)
     first = take_pieces(np.zeros(len(count), np.int64), count) * STRIDE
     place = first[:, None] + np.arange(WINDOW)
-    return np.where(place < per_text[owner][:, None], place + ptr[:-1][owner][:, None], -1), owner
+    past = place >= per_text[owner][:, None]
+    place += ptr[:-1][owner][:, None]
+    place[past] = -1
+    return place, owner
 
 
 def _run(gates: np.ndarray, mask: np.ndarray, u: np.ndarray, back: bool, keep: bool) -> tuple[np.ndarray, list]:
@@ -224,7 +227,7 @@ def gradients(p: Params, vectors: np.ndarray, tokens: np.ndarray, labels: np.nda
     return float(loss), g, d_vectors
 
 
-def _odds(buckets: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
+def _odds(buckets: Iterable[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
     """Smoothed log odds of a bucket's texts to be toxic, drawn towards 0 where few texts speak for it."""
     seen = np.zeros((2, size))
     for b, y in zip(buckets, labels, strict=True):
@@ -277,13 +280,13 @@ def train(texts: list[tuple[bytes, int]], epochs: int = 6, batch: int = 192, rat
     features = Features(words)
     p = _fresh(rng)
     per_text = [features.of_token[a:b] for a, b in zip(words.ptr[:-1], words.ptr[1:], strict=True)]
-    p["words"][:, 0] = _odds([features.word[np.unique(t)] for t in per_text], labels, 1 << WORD_BITS)
-    of_word = [np.unique(t) for t in per_text]
-    p["odds"] = _odds([features.grams[take_pieces(features.heads[w], features.n_grams[w])] for w in of_word], labels, 1 << GRAM_BITS)
+    p["words"][:, 0] = _odds((features.word[np.unique(t)] for t in per_text), labels, 1 << WORD_BITS)
+    p["odds"] = _odds((features.grams[take_pieces(features.heads[w], features.n_grams[w])] for w in map(np.unique, per_text)), labels, 1 << GRAM_BITS)
     p["grams"][:, 0] = p["odds"]
     place, owner = windows(words.per_text, words.ptr)
     pad = len(features.word)
-    tokens = np.where(place >= 0, features.of_token[place], pad).astype(np.int32)
+    tokens = features.of_token.astype(np.int32)[place]
+    tokens[place < 0] = pad
     del place
     vectors = features.vectors(p)
     evidence = np.maximum(vectors[:, 0], 0) + np.maximum(vectors[:, -1], 0)

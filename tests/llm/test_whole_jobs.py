@@ -1,14 +1,18 @@
 """Operators do the whole job: nothing is cut by length, share or size of the input."""
 
+import os
+import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import language, licenses, suffix_tree, toxicity
+from orrery.llm import _tokens, language, licenses, suffix_tree, toxicity
 from orrery.llm._text import split_words
+from orrery.storage import in_arrow
 
 
 def words(text):
@@ -223,3 +227,45 @@ def test_model_comes_in_small_rows(spark):
     want = toxicity.train([(t[1], t[2]) for t in texts])
     got = toxicity.fit(spark.createDataFrame(texts, "doc_id long, body binary, label int"))
     assert got.keys() == want.keys() and all(np.array_equal(got[k], want[k]) for k in want)
+
+
+def test_workers_hand_back_memory(spark):
+    """What a pass has freed doesn't stay with its worker, beside the next stages' rows."""
+
+    class Frame:
+        sparkSession = spark
+
+        def mapInArrow(self, function, schema):
+            return function
+
+    def resident() -> float:
+        return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+    def work(batches):
+        used = [bytes(2000) for _ in range(100_000)]
+        kept.append(bytes(2000))  # the heap's end stays in use
+        del used
+        during.append(resident())
+        yield from batches
+
+    kept, during, before = [], [], resident()
+    batch = pa.record_batch([pa.array([1])], names=["x"])
+    assert list(in_arrow(Frame(), work, "x long")(iter([batch]))) == [batch]
+    assert during[0] - before > 150 and resident() - before < 60
+
+
+def test_working_memory_is_bounded():
+    """Encoding and training take little more than their blocks and their sample."""
+    text = (" ".join(f"word{i % 997} and more" for i in range(200)) + " ").encode()
+    batch = pa.record_batch([pa.array(range(2000)), pa.array([text] * 2000, pa.binary())], names=["doc_id", "body"])
+    tracemalloc.start()
+    try:
+        ids = [len(flat) for _, flat, _ in _tokens.encoded(iter([batch]), _tokens.vocabulary())]
+        assert len(ids) > 1 and tracemalloc.get_traced_memory()[1] < 130e6
+        tracemalloc.reset_peak()
+        per_text = np.full(200, 8000)
+        place, owner = toxicity.windows(per_text, np.concatenate([[0], np.cumsum(per_text)]))
+        assert tracemalloc.get_traced_memory()[1] < 1.6 * place.nbytes
+    finally:
+        tracemalloc.stop()
+    assert place.max() == per_text.sum() - 1 and (np.bincount(place[place >= 0]) > 0).all()
